@@ -69,6 +69,7 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     rows = written(rows, "digests")
     shared = rows.where("survives")
     best = shared.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("points")).alias("a"), F.col("key").isNull().alias("b"), F.col("key").alias("c")))["c"].alias("keep"))
+    best = written(best, "groups")  # else it shares the join's exchange, which then can't split a hot text
     out = lambda df, keep, n: df.select(F.col("key").alias(key), keep.alias("keep_id"), n.cast("long").alias("group_size"), F.col("key").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
     return out(rows.where("not survives"), F.col("key"), F.lit(1)).unionByName(out(shared.join(best, "sha"), F.col("keep"), F.col("n")))
 
