@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import exact_dedup, packing, sharding, substring, token_counts, topk, toxicity, warc
+from fathom.llm import exact_dedup, ngram_join, packing, sharding, substring, token_counts, topk, toxicity, warc
 from fathom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -44,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_top_k, op6_warc, op7_substring_dedup, op8_token_counts, op9_exact_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_top_k, op5_ngram_join, op6_warc, op7_substring_dedup, op8_token_counts, op9_exact_dedup, op10_packing)}
 ORACLES: dict[str, str] = {"op4_top_k": topk.SQL, "op6_warc": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}
