@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import exact_dedup, ngram_join, packing, sharding, substring, token_counts, topk, toxicity, warc
+from fathom.llm import exact_dedup, mixing, ngram_join, packing, sharding, substring, token_counts, topk, toxicity, warc
 from fathom.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Domains of the mixture by their labels, and the shares of the tokens that they shall have.
+DOMAINS = {"toxic": "toxic = 1", "high": "quality = 1", "low": "quality = 0"}
+SHARES = (0.05, 0.85, 0.10)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), DOMAINS, SHARES)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -48,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_top_k, op5_ngram_join, op6_warc, op7_substring_dedup, op8_token_counts, op9_exact_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_sharding, op4_top_k, op5_ngram_join, op6_warc, op7_substring_dedup, op8_token_counts, op9_exact_dedup, op10_packing)}
 ORACLES: dict[str, str] = {"op4_top_k": topk.SQL, "op6_warc": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}
