@@ -429,3 +429,13 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     ids = written(named.join(small, "component").select("set", "component_id"), "names")
     out = texts.where("n > 0").join(ids, "set").select("key", "n", "component_id").unionByName(texts.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs whose key is its component's smallest, with all their columns.
+
+    Only the keys to drop meet the texts: broadcast while there are at most broadcast_rows of them
+    (a few MB), by a shuffle beyond. Rows without words stay, as do rows without a key.
+    """
+    gone = written(similarity_components(docs, key, text).where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, key, "left_anti").select(*docs.columns)
