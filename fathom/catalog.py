@@ -5,6 +5,208 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.operators import bayes, keywords, match, series
+from fathom.operators.select import query
+from fathom.plans.sql import execute
+from fathom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+def pages(name: str, text: str, sql: str | None = None, **options) -> None:
+    add(name, lambda spark, d: query(table(spark, d, "pages"), text, **options), sql)
+
+
+def texts(name: str, text: str, sql: str | None = None) -> None:
+    add(name, lambda spark, d: query(table(spark, d, "documents"), text, source="text", url=None, keep=("doc_id",)), sql)
+
+
+def dialect(name: str, of: str, statement: str, sql: str | None) -> None:
+    add(name, lambda spark, d: execute(table(spark, d, of), statement), sql)
+
+
+# ---- what the oracles share: rows of pages by regular expressions
+
+_LINK = r'<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+LINKS = f"""
+WITH m AS (SELECT page_id, url, regexp_extract_all(html, '{_LINK}', 1, 's') AS h, regexp_extract_all(html, '{_LINK}', 2, 's') AS t FROM pages),
+links AS (SELECT page_id, url, CAST(unnest(range(len(h))) AS INTEGER) AS pos, unnest(h) AS href, unnest(t) AS tx FROM m)"""
+
+
+def _elements(tag: str, group: int = 1) -> str:
+    return f"""
+WITH m AS (SELECT page_id, url, regexp_extract_all(html, '<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', {group}, 's') AS t FROM pages),
+e AS (SELECT page_id, url, CAST(unnest(range(len(t))) AS INTEGER) AS pos, unnest(t) AS tx FROM m)"""
+
+
+# ---- tags, attributes, ranges
+
+pages("links_href_text", "<a>:href,tx", LINKS + " SELECT page_id, pos, href, tx FROM links")
+pages("whole_elements", "<title>", _elements("title", 0) + " SELECT page_id, pos, tx AS value FROM e")
+pages("nth_link", "<a>2-3:href", LINKS + " SELECT page_id, pos - 1 AS pos, href FROM links WHERE pos IN (1, 2)")
+pages("last_link", "<a>0:tx", LINKS + " SELECT page_id, 0 AS pos, max_by(tx, pos) AS tx FROM links GROUP BY page_id")
+pages("from_second_to_last", "<a>2-0:tx", LINKS + " SELECT page_id, pos - 1 AS pos, tx FROM links WHERE pos >= 1")
+pages("every_other_link", "<a>1-0#2:href", LINKS + " SELECT page_id, CAST(pos / 2 AS INTEGER) AS pos, href FROM links WHERE pos % 2 = 0")
+pages("several_ranges", "<a>1,3-4:href", LINKS + " SELECT page_id, CASE WHEN pos = 0 THEN 0 ELSE pos - 1 END AS pos, href FROM links WHERE pos IN (0, 2, 3)")
+pages("title_text", "<title>:tx", _elements("title") + " SELECT page_id, pos, tx FROM e")
+pages("list_items", "<ul>.<li>:tx", _elements("li") + " SELECT page_id, pos, tx FROM e")
+pages("tag_names", "<h1>:tn,st,et", _elements("h1", 0) + " SELECT page_id, pos, 'h1' AS tn, regexp_extract(tx, '^<h1[^>]*>') AS st, '</h1>' AS et FROM e")
+pages("missing_attribute", "<a>:href,title", LINKS + " SELECT page_id, pos, href, CAST(NULL AS VARCHAR) AS title FROM links")
+pages("page_language", "<html>:lang", "SELECT page_id, 0 AS pos, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages WHERE html LIKE '%<html lang=%'")
+pages("text_around", "<h1>:px,fx,xx", "SELECT page_id, 0 AS pos, regexp_extract(html, '>([^<]*)<h1>', 1) AS px, regexp_extract(html, '<h1>([^<]*)', 1) AS fx, regexp_extract(html, '</h1>([^<]*)', 1) AS xx FROM pages")
+pages("paragraph_texts", "<p>:tx", None)
+pages("paragraph_count", "<p NORECUR>&tuple_count", "SELECT page_id, 0 AS pos, CAST(len(regexp_extract_all(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<p>')) AS VARCHAR) AS value FROM pages")
+pages("wild_tags", "<*>1-5:tn", None)
+pages("text_tokens", "<@tx>1-3:tt", None)
+pages("bold_unclosed", "<b>:tx &txstr(40)", None)
+pages("complement_links", "<-a>", "SELECT page_id, 0 AS pos, regexp_replace(html, '<a\\s[^>]*>.*?</a>', '', 'gs') AS value FROM pages")
+pages("source_complement", "-<a>", "WITH m AS (SELECT page_id, string_split_regex(html, '(?s)<a\\s[^>]*>.*?</a>') AS v FROM pages) SELECT page_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m")
+pages("separated_by_links", "<nav>.<a SEP>", None)
+
+# ---- predicates and records
+
+pages("links_like", "<a (href like '/t%')>:href", LINKS + ", k AS (SELECT * FROM links WHERE href ILIKE '/t%') SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, href FROM k")
+pages("range_before_predicate", "<a IRAN (tx<>'the')>1-2:tx", LINKS + ", k AS (SELECT * FROM links WHERE pos < 2 AND tx <> 'the') SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, tx FROM k")
+pages("link_records", "<a>{link=:href; label=:tx &tx &trim}", LINKS + " SELECT page_id, pos, href AS link, trim(replace(tx, '&amp;', '&')) AS label FROM links")
+pages("records_where", "<a>{href=:href; t=:tx | strlen(t)>3}", LINKS + " SELECT page_id, pos, href, tx AS t FROM links WHERE strlen(tx) > 3")
+pages("records_where_words", "<a>{a=:href; b=:tx &tx &trim | text_words(b)>=1 and not (a is null)}", None)
+pages("records_computed", "<a>{href=:href; t=:tx | t <> 'the' | joined=t+'#'+href; n=strlen(t)*2}", LINKS + " SELECT page_id, pos, tx || '#' || href AS joined, CAST(strlen(tx) * 2 AS VARCHAR) AS n FROM links WHERE tx <> 'the'")
+pages("records_substr", "<a>{t=:tx | | a=substr(t,1,2); b=strfind(t,'e'); c=upper(t)}", LINKS + " SELECT page_id, pos, substr(tx, 2, 2) AS a, CAST(instr(tx, 'e') - 1 AS VARCHAR) AS b, upper(tx) AS c FROM links")
+pages("records_of_pages", "<html>{title=<title>:tx; links=<a>&tuple_count; first=<a>1:href}", LINKS + ", c AS (SELECT page_id, CAST(count(*) AS VARCHAR) AS links, min_by(href, pos) AS first FROM links GROUP BY page_id) SELECT p.page_id, 0 AS pos, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, coalesce(c.links, '0') AS links, c.first FROM pages p LEFT JOIN c USING (page_id)")
+pages("with_variable", "<a (tx=wanted)>:href,tx", LINKS + ", k AS (SELECT * FROM links WHERE tx = 'the') SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, href, tx FROM k", variables={"wanted": "the"})
+
+# ---- reductions and counts
+
+pages("links_joined", "<a>:tx /|/", LINKS + " SELECT p.page_id, 0 AS pos, coalesce(string_agg(tx, '|' ORDER BY pos), '') AS value FROM pages p LEFT JOIN links USING (page_id) GROUP BY p.page_id")
+pages("fields_joined", "<a>:href,tx */ => /", LINKS + " SELECT page_id, pos, href || ' => ' || tx AS value FROM links")
+pages("nested_joined", "<ul>{items=<li>:tx} **/; /", None)
+pages("links_counted", "<a>&tuple_count", LINKS + " SELECT p.page_id, 0 AS pos, CAST(count(links.pos) AS VARCHAR) AS value FROM pages p LEFT JOIN links USING (page_id) GROUP BY p.page_id")
+
+# ---- plain delimiters
+
+texts("sentences", "/'. '/", "WITH m AS (SELECT doc_id, string_split(text, '. ') AS s FROM documents) SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS value FROM m")
+texts("second_line", r"/'\n'/2", "SELECT doc_id, 0 AS pos, string_split(text, chr(10))[2] AS value FROM documents WHERE len(string_split(text, chr(10))) >= 2")
+pages("between_delimiters", "/'<h1>'~'</h1>'/", _elements("h1") + " SELECT page_id, pos, tx AS value FROM e")
+
+# ---- functions on texts
+
+pages("trimmed_lower", "<a>:tx &trim &tolower", LINKS + " SELECT page_id, pos, lower(trim(tx)) AS tx FROM links")
+pages("after_slash", "<a>:href &after('/')", LINKS + " SELECT page_id, pos, CASE WHEN contains(href, '/') THEN substr(href, instr(href, '/') + 1) ELSE '' END AS href FROM links")
+pages("before_e", "<a>:href &before('e')", LINKS + " SELECT page_id, pos, CASE WHEN contains(href, 'e') THEN substr(href, 1, instr(href, 'e') - 1) ELSE '' END AS href FROM links")
+pages("characters_mapped", "<a>:tx &char_replace('aeo,','AE')", LINKS + " SELECT page_id, pos, translate(tx, 'aeo,', 'AE') AS tx FROM links")
+pages("titles_encoded", "<a>:href &html_encode", LINKS + " SELECT page_id, pos, replace(replace(replace(replace(replace(replace(href, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '\\', '&bslash;') AS href FROM links")
+pages("titles_decoded", "<title>:tx &html_decode", _elements("title") + " SELECT page_id, pos, replace(replace(replace(replace(tx, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS tx FROM e")
+pages("links_resolved", "<a>:href &url", LINKS + " SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || href ELSE href END AS href FROM links")
+pages("headings_stripped", "<h1>&tx", _elements("h1") + " SELECT page_id, pos, replace(replace(replace(tx, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&') AS value FROM e")
+pages("stripped_text", "<article>&txstr", None)
+pages("page_titles", "&html_title", _elements("title") + " SELECT page_id, pos, trim(replace(replace(replace(tx, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')) AS value FROM e")
+pages("main_text", "&html_main_text", None)
+pages("form_controls", "<form>&form_inputs", None)
+pages("tag_attributes", "<a>1 &tag_attrs", LINKS + " SELECT page_id, pos, '<tag_attrs tag_name=\"a\"><tag_attr name=\"href\" value=\"' || href || '\"></tag_attrs>' AS value FROM links WHERE pos = 0")
+pages("parents_of_links", "<a>1 &tag_parent('li')", _elements("li", 0) + " SELECT page_id, pos, tx AS value FROM e WHERE pos = 0")
+pages("tags_after_links", "<a>1 &tag_next", None)
+pages("tag_positions", "<h1>&position", "WITH e AS (SELECT page_id, instr(html, '<h1>') - 1 AS a, length(regexp_extract(html, '<h1>.*?</h1>', 0, 's')) AS n FROM pages) SELECT page_id, 0 AS pos, '<position from=\"' || a || '\" to=\"' || (a + n) || '\" length=\"' || n || '\">' AS value FROM e")
+pages("leaf_tags", "<nav>&tag_leaves", None)
+pages("repeated_patterns", "<nav>&repeat_patterns(3)", None)
+pages("queries_found", "<h1>&find_query", None)
+texts("email_addresses", "&get_email", None)
+texts("dates_found", "&get_date(1)", None)
+texts("numbers_found", "&get_number(1)")
+
+# ---- updates of documents
+
+pages("attribute_set", "<h1>&set_attribute('class','head')", "SELECT page_id, 0 AS pos, regexp_replace(html, '<h1>', '<h1 class=\"head\">', 'g') AS value FROM pages")
+pages("elements_deleted", "<h1>&delete", "SELECT page_id, 0 AS pos, regexp_replace(html, '<h1>.*?</h1>', '', 'gs') AS value FROM pages")
+pages("elements_replaced", "<title>:tx &update('T')", "SELECT page_id, 0 AS pos, regexp_replace(html, '<title>.*?</title>', '<title>T</title>', 's') AS value FROM pages")
+pages("text_inserted", "<title>&insert('<!-- t -->')", "SELECT page_id, 0 AS pos, regexp_replace(html, '<title>', '<!-- t --><title>') AS value FROM pages")
+pages("within_rows_replaced", "<a>:tx &replace('e','3')", LINKS + " SELECT page_id, pos, replace(tx, 'e', '3') AS tx FROM links")
+pages("urls_rewritten", "<nav>&url_all", "SELECT page_id, 0 AS pos, replace(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), 'href=\"/', 'href=\"' || regexp_extract(url, '^[a-z]+://[^/]+') || '/') AS value FROM pages")
+
+# ---- patterns, dictionaries, alignment
+
+add("pattern_numbers", lambda s, d: match.search(table(s, d, "documents"), r"\d+"), r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '\d+') AS v FROM documents) SELECT doc_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m")
+add("pattern_words", lambda s, d: match.search(table(s, d, "documents"), r"th[a-z]+e", case=False), r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)th[a-z]+e') AS v FROM documents) SELECT doc_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m")
+SETS = {"insults": ("idiot", "clown", "scum"), "articles": ("the", "a", "an")}
+add("named_set", lambda s, d: match.search(table(s, d, "documents"), r"&[s:insults]", sets=SETS, case=False), r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)idiot|clown|scum') AS v FROM documents) SELECT doc_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m")
+add("word_sets", lambda s, d: match.search_words(table(s, d, "conversations"), r"&[ws:articles]<.*ing>", key="conv_id", sets=SETS, case=False), None)
+add("dictionary_tags", lambda s, d: keywords.tag(table(s, d, "documents"), {"idiot": "insult", "clown": "insult", "the": "article"}, spaces=" \n"), """
+WITH w AS (SELECT doc_id, string_split_regex(text, '[ \n]') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w, ws FROM w),
+k AS (SELECT doc_id, i, lower(w) AS keyword, CASE lower(w) WHEN 'the' THEN 'article' ELSE 'insult' END AS value,
+  sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, w FROM x)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, keyword, value, CAST(coalesce(before, 0) AS BIGINT) AS at
+FROM k WHERE keyword IN ('idiot', 'clown', 'the')""")
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return match.align_pairs(n.join(r, "n_regionkey"), "n_name", "r_name").select("n_nationkey", "cost")
+
+
+add("alignment_costs", _aligned, None)
+add("closest_texts", lambda s, d: match.closest(table(s, d, "supplier").select("s_suppkey", "s_name"), {"a": "Supplier#000000001", "b": "Supplier#000000099"}, "s_suppkey", "s_name"), None)
+
+# ---- naive Bayes
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels"), "doc_id")
+
+
+def _bayes(spark: SparkSession, d: str) -> bayes.Model:
+    return bayes.fit(_cases(spark, d), "quality", ["lang", "source"])
+
+
+_CASES = "c AS (SELECT doc_id, lang, source, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), f AS (SELECT CAST(quality AS VARCHAR) AS label, 'lang' AS feature, lang AS value FROM c UNION ALL SELECT CAST(quality AS VARCHAR), 'source', source FROM c)"
+add("bayes_counts", lambda s, d: _bayes(s, d).counts, f"WITH {_CASES} SELECT label, feature, value, count(*) AS n FROM f GROUP BY ALL")
+add("bayes_scores", lambda s, d: _bayes(s, d).predict(_cases(s, d).select("doc_id", "lang", "source"), "doc_id").select("doc_id", "label", F.round("probability", 6).alias("probability")), f"""
+WITH {_CASES}, n AS (SELECT CAST(quality AS VARCHAR) AS label, count(*) AS n FROM c GROUP BY 1), tot AS (SELECT sum(n) AS total, count(*) AS classes FROM n),
+v AS (SELECT feature, value FROM f GROUP BY ALL), g AS (SELECT v.feature, v.value, n.label, n.n AS nl, count(f.label) AS nv FROM v CROSS JOIN n LEFT JOIN f ON f.feature = v.feature AND f.value = v.value AND f.label = n.label GROUP BY ALL),
+l AS (SELECT feature, value, label, ln((nv + 0.5) / (nl + 2 * 0.5)) AS lp FROM g),
+s AS (SELECT c.doc_id, a.label, a.lp + b.lp + ln((n.n + 0.5) / (tot.total + tot.classes * 0.5)) AS lp FROM c JOIN l a ON a.feature = 'lang' AND a.value = c.lang JOIN l b ON b.feature = 'source' AND b.value = c.source AND b.label = a.label JOIN n ON n.label = a.label CROSS JOIN tot),
+m AS (SELECT doc_id, label, lp, max(lp) OVER (PARTITION BY doc_id) AS top FROM s)
+SELECT doc_id, label, round(exp(lp - top) / sum(exp(lp - top)) OVER (PARTITION BY doc_id), 6) AS probability FROM m""")
+
+# ---- the table dialect
+
+_GROUPED = "SELECT o_orderstatus, count(o_orderkey) AS n, sum(o_totalprice) AS total, max(o_totalprice) AS most, min(o_totalprice) AS least FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus HAVING n > 10"
+add("sql_group", lambda s, d: execute(table(s, d, "orders"), _GROUPED).withColumn("total", F.round("total", 2)), "SELECT o_orderstatus, CAST(count(*) AS DOUBLE) AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS most, min(o_totalprice) AS least FROM orders WHERE o_totalprice > 1000 GROUP BY 1 HAVING count(*) > 10")
+dialect("sql_count_arguments", "lineitem", "SELECT l_returnflag, count(l_orderkey, l_partkey) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(2 * count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1")
+dialect("sql_where_like", "customer", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%#0000000_1' and c_acctbal > 0", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '#0000000.1$') AND c_acctbal > 0")
+dialect("sql_order_typed", "part", "SELECT p_name, p_size FROM part WHERE p_size > 40 ORDER BY p_size NUMBER DESC, p_name", "SELECT p_name, CAST(p_size AS DOUBLE) AS p_size FROM part WHERE p_size > 40")
+dialect("sql_unique", "customer", "SELECT UNIQUE c_mktsegment FROM customer", "SELECT DISTINCT c_mktsegment FROM customer")
+dialect("sql_expressions", "nation", "SELECT n_nationkey, upper(n_name) AS a, substr(n_name, 0, 2) + '-' + n_regionkey AS b, n_nationkey % 7 AS c, strlen(n_name) / 2 AS d FROM nation", "SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, upper(n_name) AS a, substr(n_name, 1, 2) || '-' || n_regionkey AS b, CAST(n_nationkey % 7 AS DOUBLE) AS c, strlen(n_name) / 2.0 AS d FROM nation")
+dialect("sql_dates", "orders", "SELECT o_orderkey, months_between(o_orderdate, #1998-12-01#) AS m, datediff('month', o_orderdate, #1995-01-01#) AS k FROM orders WHERE o_orderdate >= #1995-06-01#", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST((1998 - year(o_orderdate)) * 12 + 12 - month(o_orderdate) AS DOUBLE) AS m, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS DOUBLE) AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1995-06-01'")
+dialect("sql_delete", "nation", "DELETE FROM nation WHERE n_regionkey = 1", "SELECT * FROM nation WHERE n_regionkey <> 1")
+dialect("sql_update", "region", "UPDATE region SET r_name = lower(r_name) WHERE r_regionkey > 1", "SELECT r_regionkey, CASE WHEN r_regionkey > 1 THEN lower(r_name) ELSE r_name END AS r_name FROM region")
+dialect("sql_insert", "region", "INSERT INTO region (r_regionkey, r_name) VALUES (9, 'NOWHERE')", "SELECT * FROM region UNION ALL SELECT 9, 'NOWHERE'")
+dialect("sql_rownum", "nation", "SELECT rownum AS n, n_name FROM nation WHERE rownum <= 10", "SELECT CAST(row_number() OVER () AS DOUBLE) AS n, n_name FROM nation QUALIFY n <= 10")
+dialect("sql_word_counts", "documents", "SELECT doc_id, text_words(text) AS words, strlen(text) AS bytes FROM documents", r"SELECT CAST(doc_id AS DOUBLE) AS doc_id, CAST(len(regexp_extract_all(text, '[^\x00-\x7F]|[A-Za-z0-9_]+')) AS DOUBLE) AS words, CAST(strlen(text) AS DOUBLE) AS bytes FROM documents")
+dialect("sql_null_or", "customer", "SELECT c_custkey, c_mktsegment /& 'none' AS s FROM customer WHERE c_mktsegment is not null or c_acctbal < 0", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, rtrim(c_mktsegment) AS s FROM customer")
+add("cross_tables", lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).transform(lambda t: execute(t, "SELECT r_name, count(n_name) AS n FROM t GROUP BY r_name")), "SELECT r_name, CAST(count(*) AS DOUBLE) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+
+# ---- series and sinks
+
+EVENTS = ["ts", "event_id"]
+add("events_moving_mean", lambda s, d: series.moving(table(s, d, "events"), ["user_id"], EVENTS, "value", 2).select("event_id", F.round("moved", 6).alias("moved")), "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moved FROM events")
+add("events_moving_median", lambda s, d: series.moving(table(s, d, "events"), ["user_id"], EVENTS, "value", 2, 2, "median").select("event_id", F.round("moved", 6).alias("moved")), "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS moved FROM events")
+add("events_difference", lambda s, d: series.difference(table(s, d, "events"), ["user_id"], EVENTS, "value").select("event_id", F.round("difference", 6).alias("difference")), "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS difference FROM events")
+add("events_summary", lambda s, d: series.summary(table(s, d, "events"), ["event_type"], "value").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+add("events_resampled", lambda s, d: series.resample(table(s, d, "events"), ["event_type"], "ts", "value", "1 hour").select("event_type", F.unix_timestamp("start").alias("start"), F.round("mean", 6).alias("mean")), "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, round(avg(value), 6) AS mean FROM events GROUP BY 1, date_trunc('hour', ts)")
+add("events_peaks", lambda s, d: series.peaks(table(s, d, "events"), ["user_id"], EVENTS, "value").select("event_id", "value"), "WITH e AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, value FROM e WHERE value > a AND value >= b")
+add("html_table_rows", lambda s, d: tables.html_rows(table(s, d, "region").select("r_name", F.col("r_regionkey").cast("string").alias("k"))), "SELECT '<tr><td>' || r_name || '</td><td>' || r_regionkey || '</td></tr>' AS value FROM region")
+add("xml_rows", lambda s, d: tables.xml_rows(table(s, d, "region").select("r_name"), "region"), "SELECT '<region><r_name>' || r_name || '</r_name></region>' AS value FROM region")
