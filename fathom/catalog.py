@@ -84,7 +84,7 @@ pages("link_records", "<a>{link=:href; label=:tx &tx &trim}", LINKS + " SELECT p
 pages("records_where", "<a>{href=:href; t=:tx | strlen(t)>3}", LINKS + " SELECT page_id, pos, href, tx AS t FROM links WHERE strlen(tx) > 3")
 pages("records_where_words", "<a>{a=:href; b=:tx &tx &trim | text_words(b)>=1 and not (a is null)}", None)
 pages("records_computed", "<a>{href=:href; t=:tx | t <> 'the' | joined=t+'#'+href; n=strlen(t)*2}", LINKS + " SELECT page_id, pos, tx || '#' || href AS joined, CAST(strlen(tx) * 2 AS VARCHAR) AS n FROM links WHERE tx <> 'the'")
-pages("records_substr", "<a>{t=:tx | | a=substr(t,1,2); b=strfind(t,'e'); c=upper(t)}", LINKS + " SELECT page_id, pos, substr(tx, 2, 2) AS a, CAST(instr(tx, 'e') - 1 AS VARCHAR) AS b, upper(tx) AS c FROM links")
+pages("records_substr", "<a>{t=:tx | | a=substr(t,1,2); b=strfind(t,'e'); c=lower(t)}", LINKS + " SELECT page_id, pos, substr(tx, 2, 2) AS a, CAST(instr(tx, 'e') - 1 AS VARCHAR) AS b, lower(tx) AS c FROM links")
 pages("records_of_pages", "<html>{title=<title>:tx; links=<a>&tuple_count; first=<a>1:href}", LINKS + ", c AS (SELECT page_id, CAST(count(*) AS VARCHAR) AS links, min_by(href, pos) AS first FROM links GROUP BY page_id) SELECT p.page_id, 0 AS pos, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, coalesce(c.links, '0') AS links, c.first FROM pages p LEFT JOIN c USING (page_id)")
 pages("with_variable", "<a (tx=wanted)>:href,tx", LINKS + ", k AS (SELECT * FROM links WHERE tx = 'the') SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, href, tx FROM k", variables={"wanted": "the"})
 
@@ -206,7 +206,7 @@ add("events_moving_mean", lambda s, d: series.moving(table(s, d, "events"), ["us
 add("events_moving_median", lambda s, d: series.moving(table(s, d, "events"), ["user_id"], EVENTS, "value", 2, 2, "median").select("event_id", F.round("moved", 6).alias("moved")), "SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS moved FROM events")
 add("events_difference", lambda s, d: series.difference(table(s, d, "events"), ["user_id"], EVENTS, "value").select("event_id", F.round("difference", 6).alias("difference")), "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS difference FROM events")
 add("events_summary", lambda s, d: series.summary(table(s, d, "events"), ["event_type"], "value").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
-add("events_resampled", lambda s, d: series.resample(table(s, d, "events"), ["event_type"], "ts", "value", "1 hour").select("event_type", F.unix_timestamp("start").alias("start"), F.round("mean", 6).alias("mean")), "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, round(avg(value), 6) AS mean FROM events GROUP BY 1, date_trunc('hour', ts)")
+add("events_resampled", lambda s, d: series.resample(table(s, d, "events"), ["event_type"], "ts", "value", "1 hour").select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("mean", 6).alias("mean")), "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, round(avg(value), 6) AS mean FROM events GROUP BY 1, date_trunc('hour', ts)")
 add("events_peaks", lambda s, d: series.peaks(table(s, d, "events"), ["user_id"], EVENTS, "value").select("event_id", "value"), "WITH e AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, value FROM e WHERE value > a AND value >= b")
 add("html_table_rows", lambda s, d: tables.html_rows(table(s, d, "region").select("r_name", F.col("r_regionkey").cast("string").alias("k"))), "SELECT '<tr><td>' || r_name || '</td><td>' || r_regionkey || '</td></tr>' AS value FROM region")
 add("xml_rows", lambda s, d: tables.xml_rows(table(s, d, "region").select("r_name"), "region"), "SELECT '<region><r_name>' || r_name || '</r_name></region>' AS value FROM region")

@@ -46,5 +46,5 @@ def differing(a: str, b: str) -> int:
 
 def windowed_counts(events: DataFrame, time: str = "ts", by: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events of each kind in each window of time; rows later than the watermark are left out."""
-    counted = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    counted = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
