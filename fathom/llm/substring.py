@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import small_batches, written
+from fathom.llm.common import fresh, small_batches, written
 
 #: A chunk ends where the rolling hash of the last WINDOW bytes has its MASK_BITS top bits 0: every 2**MASK_BITS bytes on average.
 WINDOW = 32
@@ -34,8 +34,9 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
     The gear hash h[i] = 2 h[i-1] + gear[byte] has, in 32 bits, a window of 32 bytes; here it is
     summed up by doubling, for all places at once. Only cuts at least LEAST apart count, and a chunk
-    that reaches MOST is cut there.
+    that reaches MOST is cut there. No cut divides a character.
     """
+    whole = lambda e: e >= len(data) or data[e] & 0xC0 != 0x80
     h = gear()[data]
     step = 1
     while step < WINDOW:
@@ -44,13 +45,13 @@ def cuts(data: np.ndarray) -> np.ndarray:
     ends, last = [], 0
     for e in (np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1).tolist():
         while e - last > MOST:
-            last += MOST
+            last = next(x for x in range(last + MOST, len(data) + 1) if whole(x))
             ends.append(last)
-        if e - last >= LEAST:
+        if e - last >= LEAST and whole(e):
             ends.append(e)
             last = e
     while len(data) - last > MOST:
-        last += MOST
+        last = next(x for x in range(last + MOST, len(data) + 1) if whole(x))
         ends.append(last)
     if len(data) > last:
         ends.append(len(data))
@@ -88,14 +89,15 @@ def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_bytes: int = SPAN_BYTES, within: bool = False) -> DataFrame:
-    """A row for each repeated span: key, start and end (bytes of the UTF-8 text), n_chunks, first_key, kept.
+    """A row for each repeated span: key, start and end (bytes of the UTF-8 text), n_chunks, first_key, kept, cuts.
 
     A chunk repeats if texts of two keys or more hold it; ``within`` also counts repeats inside a text.
-    Neighbouring repeated chunks make a span; spans of at least span_bytes count. first_key is the smallest key that holds
-    the span's first chunk; kept marks the spans that lie there and so stay, the others are what a
-    dedup cuts out. Digests are counted before the shuffle, so a chunk that a third of the texts hold
-    is one row a task. Null and empty texts have no chunk; rows without a key take no part; a row that
-    repeats a key and its text repeats its spans. Other columns are not read.
+    Neighbouring repeated chunks make a span; spans of at least span_bytes count. Each chunk stays in
+    the text with the smallest key that holds it; first_key is the smallest of those keys in the span,
+    cuts the (first, size) of the chunks that stay elsewhere, and kept says that there are none.
+    Digests are counted before the shuffle, so a chunk that a third of the texts hold is one row a
+    task. Null and empty texts have no chunk; rows without a key take no part; rows that repeat a key
+    and its text share their spans. Other columns are not read.
     """
     chunks = written(chunk_rows(docs.where(F.col(key).isNotNull()), key, text), "chunks")
     held = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
@@ -103,7 +105,37 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     hits = chunks.join(twice, ["d1", "d2"]).select("key", "number", "first", "size", "first_key").distinct()
     order = Window.partitionBy("key").orderBy("number")
     runs = hits.withColumn("run", F.col("number") - F.row_number().over(order))
+    chunk = F.struct("first", "size")
     spans = runs.groupBy("key", "run").agg(
-        F.min("first").alias("start"), F.max(F.col("first") + F.col("size")).alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_key", "number").alias("first_key")
-    )
-    return spans.where(F.col("end") - F.col("start") >= span_bytes).select(F.col("key").alias(key), "start", "end", "n_chunks", "first_key", (F.col("key") == F.col("first_key")).alias("kept"))
+        F.min("first").alias("start"), F.max(F.col("first") + F.col("size")).alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_key").alias("first_key"),
+        F.array_sort(F.collect_list(F.when(F.col("first_key") != F.col("key"), chunk))).alias("cuts"),
+    )
+    long = spans.where(F.col("end") - F.col("start") >= span_bytes)
+    return long.select(F.col("key").alias(key), "start", "end", "n_chunks", "first_key", (F.size("cuts") == 0).alias("kept"), "cuts")
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span_bytes: int = SPAN_BYTES) -> DataFrame:
+    """docs with the text of repeated spans left only where it stays; all other columns and rows as they are.
+
+    Texts with cuts alone are rewritten; a text that is cut whole becomes empty.
+    """
+    spans = repeated_spans(docs, key, text, span_bytes).where(~F.col("kept"))
+    cuts = fresh(docs, "cuts")
+    by_key = spans.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias(cuts))
+
+    @F.pandas_udf("string")
+    def without(texts, ranges):
+        def one(data, cut):
+            if data is None or cut is None:
+                return data
+            raw, at, out = data.encode(), 0, []
+            for c in cut:
+                out.append(raw[at : c["first"]])
+                at = c["first"] + c["size"]
+            return b"".join([*out, raw[at:]]).decode()
+
+        import pandas as pd
+
+        return pd.Series([one(t, r) for t, r in zip(texts, ranges, strict=True)], dtype=object)
+
+    return docs.join(by_key, key, "left").withColumn(text, F.when(F.col(cuts).isNull(), F.col(text)).otherwise(without(text, cuts))).select(*docs.columns)
