@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import bayes, keywords, match, series
 from fathom.operators.select import query
-from fathom.plans.sql import execute
+from fathom.plans.sql import execute, execute_over
 from fathom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,11 @@ pages("tags_after_links", "<a>1 &tag_next", None)
 pages("tag_positions", "<h1>&position", "WITH e AS (SELECT page_id, instr(html, '<h1>') - 1 AS a, length(regexp_extract(html, '<h1>.*?</h1>', 0, 's')) AS n FROM pages) SELECT page_id, 0 AS pos, '<position from=\"' || a || '\" to=\"' || (a + n) || '\" length=\"' || n || '\">' AS value FROM e")
 pages("leaf_tags", "<nav>&tag_leaves", None)
 pages("repeated_patterns", "<nav>&repeat_patterns(3)", None)
-pages("queries_found", "<h1>&find_query", None)
+pages("queries_found", "<h1>&find_query", "SELECT page_id, 0 AS pos, '<h1 NORECUR>1' AS value FROM pages")
+pages("list_views", "&find_repeat_views(2)")
+pages("best_view", "&find_best_views(1)")
+pages("leaf_records", "<li>1 &leaves_schema_query", "SELECT page_id, 0 AS pos, '{f1=<a NORECUR>1:tx}' AS value FROM pages")
+pages("nested_query", "<nav>{first=&query('<a>1:href')}", LINKS + " SELECT page_id, 0 AS pos, href AS first FROM links WHERE pos = 0")
 texts("email_addresses", "&get_email", None)
 texts("dates_found", "&get_date(1)", None)
 texts("numbers_found", "&get_number(1)")
@@ -199,6 +203,24 @@ dialect("sql_word_counts", "documents", "SELECT doc_id, text_words(text) AS word
 dialect("sql_null_or", "customer", "SELECT c_custkey, c_mktsegment /& 'none' AS s FROM customer WHERE c_mktsegment is not null or c_acctbal < 0", "SELECT CAST(c_custkey AS DOUBLE) AS c_custkey, rtrim(c_mktsegment) AS s FROM customer")
 add("cross_tables", lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).transform(lambda t: execute(t, "SELECT r_name, count(n_name) AS n FROM t GROUP BY r_name")), "SELECT r_name, CAST(count(*) AS DOUBLE) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 
+add(
+    "sql_two_tables",
+    lambda s, d: execute_over({"nation": table(s, d, "nation"), "region": table(s, d, "region")}, "SELECT n.n_name AS nation, r_name AS region FROM nation AS n, region r WHERE n.n_regionkey = r.r_regionkey and r_name like 'A%'"),
+    "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'",
+)
+dialect("sql_url_parts", "pages", "SELECT page_id, gethostname(url) AS host, getdomainname(url) AS domain, getpathname(url) AS path FROM pages", "SELECT CAST(page_id AS DOUBLE) AS page_id, regexp_extract(url, '//([^/?#:]*)', 1) AS host, regexp_extract(regexp_extract(url, '//([^/?#:]*)', 1), '[^.]+\\.[^.]+$') AS domain, regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path FROM pages")
+
+
+def _table_function(spark: SparkSession, d: str) -> DataFrame:
+    from fathom.api import register_sql
+
+    register_sql(spark)
+    table(spark, d, "pages").createOrReplaceTempView("fathom_pages")
+    return spark.sql("SELECT page_id, q.pos, q.fields[0] AS href, q.fields[1] AS tx FROM fathom_pages, LATERAL doc_query(html, '<a>:href,tx', url) q")
+
+
+add("sql_table_function", _table_function, LINKS + " SELECT page_id, pos, href, tx FROM links")
+
 # ---- series and sinks
 
 EVENTS = ["ts", "event_id"]

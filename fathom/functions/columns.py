@@ -207,6 +207,37 @@ def rand(*args):
     return F.rand()
 
 
+@text
+def getfilepath(s):
+    return F.regexp_extract(_s(s), r"^(.*[/\\\\])?", 1)
+
+
+@text
+def getfilename(s):
+    return F.regexp_extract(_s(s), r"([^/\\\\]*)$", 1)
+
+
+@text
+def gethostname(url):
+    return F.regexp_extract(_s(url), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+
+
+@text
+def getdomainname(url):
+    return F.substring_index(F.regexp_extract(_s(url), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), ".", -2)
+
+
+@text
+def getpathname(url):
+    return F.regexp_extract(_s(url), r"^(?:[a-zA-Z][\w+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
+@date_
+def next_day(d, day):
+    x = d.date()
+    return F.timestamp_seconds(F.unix_timestamp(F.call_function("next_day", x, day.text()).cast("timestamp")) + F.unix_timestamp(x) % 86400)
+
+
 @date_
 def sysdate():
     return F.current_timestamp()

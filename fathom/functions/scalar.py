@@ -328,6 +328,55 @@ def to_number(s):
     return number(s)
 
 
+@register
+def rand(*args):
+    import random
+
+    return random.random() * (number(args[0]) if args else 1.0)
+
+
+@register
+def getfilepath(s):
+    return _s(s)[: max(_s(s).rfind("/"), _s(s).rfind("\\")) + 1]
+
+
+@register
+def getfilename(s):
+    return _s(s)[max(_s(s).rfind("/"), _s(s).rfind("\\")) + 1 :]
+
+
+@register
+def query(source, text, url=None, *variables):
+    """The first cell that a query gives on a text; names and values of its variables may follow."""
+    from fathom.operators.interpret import run
+    from fathom.plans.parser import parse
+
+    pairs = {_s(n): _s(v) for n, v in zip(variables[::2], variables[1::2], strict=False)}
+    found = run(_s(source), parse(_s(text)), text_of(url), pairs).values()
+    return found[0][0] if found and found[0] else None
+
+
+@register
+def gethostname(url):
+    from fathom.functions.urls import host_name
+
+    return host_name(_s(url))
+
+
+@register
+def getdomainname(url):
+    from fathom.functions.urls import domain_name
+
+    return domain_name(_s(url))
+
+
+@register
+def getpathname(url):
+    from fathom.functions.urls import path_name
+
+    return path_name(_s(url))
+
+
 # ---- dates
 
 #: Date tokens of the format language, longest first, and how Python prints them: fixed values.

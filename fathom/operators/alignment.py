@@ -139,3 +139,26 @@ def multiple_alignment(texts: Sequence[str], gap: str = "-") -> list[str]:
     (rows,) = groups.values()
     (order,) = names.values()
     return ["".join(r) for _, r in sorted(zip(order, rows, strict=True), key=lambda p: p[0])]
+
+
+def pieces(text: str, kind: str = "text") -> list[tuple[str, int]]:
+    """(piece, place): words of a text, tags and words of html, or characters (str)."""
+    import re
+
+    pattern = {"text": r"\S+", "html": r"<[^>]*>|[^<\s]+", "str": r"(?s)."}[kind]
+    return [(m[0], m.start()) for m in re.finditer(pattern, text)]
+
+
+def align_texts(a: str, b: str, kind: str = "text") -> dict:
+    """Alignment of two texts by pieces: X and Y (pieces with gaps), their (place, length) in each text, L, cost."""
+    p, q = pieces(a, kind), pieces(b, kind)
+    cost, x, y = align([t for t, _ in p], [t for t, _ in q], gap="\0")
+    places = lambda side, own: [(None, 0) if t == "\0" else next(own) for t in side]
+    at_x, at_y = (iter([(k, len(t)) for t, k in own]) for own in (p, q))
+    return {"X": ["" if t == "\0" else t for t in x], "Y": ["" if t == "\0" else t for t in y], "X_index": places(x, at_x), "Y_index": places(y, at_y), "L": len(x), "cost": cost}
+
+
+def consensus(texts: Sequence[str]) -> str:
+    """The most frequent character of each column of the multiple alignment, gaps left out."""
+    rows = multiple_alignment(texts, "\0")
+    return "".join(c for col in zip(*rows, strict=True) if (c := max(sorted(set(col)), key=col.count)) != "\0")

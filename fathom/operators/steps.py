@@ -511,6 +511,76 @@ def find_leaves_query(state, step):
     find_query(state, step)
 
 
+@on_state
+def leaves_schema_query(state, step):
+    """A record query with a field for each leaf of the first row's text."""
+    c = state.relation.rows[0].first() if state.relation.rows else Cell(None)
+    tag_leaves(state, step)
+    tokens, seen, fields = state.tokenize(c.text or ""), {}, []
+    for k, t in enumerate(tokens):
+        if t.kind == markup.START:
+            seen[t.label] = seen.get(t.label, 0) + 1
+            if t.partner is not None and t.partner in (k + 1, k + 2) and all(x.kind == markup.TEXT for x in tokens[k + 1 : t.partner]):
+                fields.append(f"f{len(fields) + 1}=<{t.label} NORECUR>{seen[t.label]}:tx")
+    state.relation = Relation([Row(Cell("{" + "; ".join(fields) + "}"))])
+
+
+def _views(state: State) -> list[tuple[float, int, str, int]]:
+    """(score, token, label of the repeated child, how many) of the elements that hold a child's name twice or more."""
+    tokens, out = state.tokenize(state.source), []
+    depth: list[int] = []
+    children: dict[int, dict[str, int]] = {}
+    for k, t in enumerate(tokens):
+        if t.kind == markup.START and t.partner is not None and t.partner > k:
+            if depth:
+                own = children.setdefault(depth[-1], {})
+                own[t.label] = own.get(t.label, 0) + 1
+            depth.append(k)
+        elif t.kind == markup.END and t.partner in depth:
+            del depth[depth.index(t.partner) :]
+    for k, own in children.items():
+        label, n = max(own.items(), key=lambda x: (x[1], x[0]))
+        if n > 1:
+            size = len(tx(state.source[slice(*span(tokens, k, state.source, True))]).strip())
+            out.append((size * (1 - 1 / n), k, label, n))
+    return sorted(out, key=lambda v: (-v[0], v[1]))
+
+
+@on_state
+def find_repeat_views(state, step):
+    """The elements that look most like lists: how much text they hold in how many children of one name."""
+    args = [int(number(a)) for a in _arguments(state, step)]
+    found = _views(state)[: (args or [5])[0]]
+    tokens = state.tokenize(state.source)
+    out = []
+    for score, k, label, n in found:
+        own = _path_query(state, tokens[k].first)
+        out.append(Row(Cell(f'<view query="{SCALAR["html_encode"](own or "")}.&lt;{label}&gt;" count="{n}" score="{score:.0f}">', tokens[k].first)))
+    state.relation = Relation(out)
+
+
+@on_state
+def find_best_views(state, step):
+    """The best of the lists, as elements."""
+    args = [int(number(a)) for a in _arguments(state, step)]
+    tokens = state.tokenize(state.source)
+    state.relation = Relation([Row(_element(state, tokens, k)) for _, k, *_ in _views(state)[: (args or [1])[0]]])
+
+
+@on_state
+def substr_(state, step):
+    """Part of each row's text by place and length; its place in the source is kept."""
+    for r in state.relation.rows:
+        args = [int(number(a)) for a in _arguments(state, step, r)]
+        c, a = r.first(), max(0, args[0])
+        text = (c.text or "")[a : a + args[1]] if len(args) > 1 else (c.text or "")[a:]
+        new = Cell(text, None if c.at is None else c.at + a)
+        if r.fields:
+            r.fields[0] = r.base = new
+        else:
+            r.base = new
+
+
 @on_state
 def help_(state, step):
     state.relation = Relation([Row(Cell("".join(f'<function name="{n}">' for n in catalogue())))])

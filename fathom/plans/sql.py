@@ -93,6 +93,45 @@ def execute(df: DataFrame, statement: str) -> DataFrame:
     raise SyntaxProblem(f"no statement begins so: {statement!r}")
 
 
+def execute_over(tables: dict[str, DataFrame], statement: str) -> DataFrame:
+    """SELECT over several tables, FROM a, b [AS x] WHERE ...: columns are named by table (a.c) or, where that is clear, alone.
+
+    Equal columns in WHERE make Spark's planner join by them; nothing is multiplied out first.
+    """
+    p = Clauses(statement.strip().rstrip(";"))
+    at = _from(p)
+    if len(at) == 1:
+        return execute(tables[at[0][0]], statement)
+    whole, names = None, {}
+    for name, alias in at:
+        df = tables[name]
+        df = df.select(*[F.col(f"`{c}`").alias(f"{alias}__{c}") for c in df.columns])
+        for c in tables[name].columns:
+            names[f"{alias}.{c}".lower()] = f"{alias}__{c}"
+            names[c.lower()] = f"{alias}__{c}" if c.lower() not in names else None
+        whole = df if whole is None else whole.crossJoin(df)
+    p = Clauses(statement.strip().rstrip(";"))
+    p.keyword("select")
+    return _select(whole, p, {k: v for k, v in names.items() if v})
+
+
+def _from(p: Clauses) -> list[tuple[str, str]]:
+    """(table, alias) of the FROM clause, which is read past."""
+    while p.kind != "end" and p.word() != "from":
+        p.advance()
+    p.advance()
+
+    def one():
+        name = p.advance()
+        if p.keyword("as"):
+            return name, p.advance()
+        if p.kind == "name" and p.word() not in ("where", "group", "order", "having"):
+            return name, p.advance()
+        return name, name
+
+    return p.listed(one)
+
+
 def _table(p: Clauses) -> None:
     if p.kind == "name" and p.word() not in ("where", "set", "values", "group", "order", "having"):
         p.advance()
@@ -186,10 +225,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return marked.join(starts, part).withColumn(name, (F.row_number().over(Window.partitionBy(part).orderBy(row)) + F.col("fx_start")).cast("double")).drop(part, row, "fx_n", "fx_start")
 
 
-def _select(df: DataFrame, p: Clauses) -> DataFrame:
+def _select(df: DataFrame, p: Clauses, names: dict[str, str] | None = None) -> DataFrame:
     unique = p.keyword("unique") or p.keyword("distinct")
     outputs = p.listed(p.output)
-    if p.keyword("from"):
+    if names is not None:
+        _from(p)
+    elif p.keyword("from"):
         _table(p)
     where = p.expression() if p.keyword("where") else None
     groups = p.listed(p.expression) if p.keyword("group", "by") else None
@@ -204,6 +245,7 @@ def _select(df: DataFrame, p: Clauses) -> DataFrame:
     outputs = [x for o in outputs for x in ([(c, Name(c)) for c in df.columns] if o[1] == "*" else [o])]
     outputs = [(n or f"_{k}", e) for k, (n, e) in enumerate(outputs, 1)]
     fields = fields_of(df)
+    fields |= {k: fields[v.lower()] for k, v in (names or {}).items()}
     if where is not None:
         df = df.where(column(where, fields).truth())
     found: dict[str, Call] = {}
