@@ -70,11 +70,11 @@ pages("text_around", "<h1>:px,fx,xx", "SELECT page_id, 0 AS pos, regexp_extract(
 pages("paragraph_texts", "<p>:tx", None)
 pages("paragraph_count", "<p NORECUR>&tuple_count", "SELECT page_id, 0 AS pos, CAST(len(regexp_extract_all(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<p>')) AS VARCHAR) AS value FROM pages")
 pages("wild_tags", "<*>1-5:tn", None)
-pages("text_tokens", "<@tx>1-3:tt", None)
+pages("text_tokens", "<@tx>1-3:tt", "WITH m AS (SELECT page_id, [regexp_extract(html, '<title>(.*?)</title>', 1, 's'), regexp_extract(html, '<style>(.*?)</style>', 1, 's'), regexp_extract(html, '<script>(.*?)</script>', 1, 's')] AS v FROM pages) SELECT page_id, CAST(unnest(range(3)) AS INTEGER) AS pos, unnest(v) AS tt FROM m")
 pages("bold_unclosed", "<b>:tx &txstr(40)", None)
 pages("complement_links", "<-a>", "SELECT page_id, 0 AS pos, regexp_replace(html, '<a\\s[^>]*>.*?</a>', '', 'gs') AS value FROM pages")
 pages("source_complement", "-<a>", "WITH m AS (SELECT page_id, string_split_regex(html, '(?s)<a\\s[^>]*>.*?</a>') AS v FROM pages) SELECT page_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m")
-pages("separated_by_links", "<nav>.<a SEP>", None)
+pages("separated_by_links", "<nav>.<a SEP>", "WITH m AS (SELECT page_id, string_split(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<a ') AS v FROM pages), x AS (SELECT page_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m) SELECT page_id, pos, CASE WHEN pos = 0 THEN value ELSE '<a ' || value END AS value FROM x")
 
 # ---- predicates and records
 
@@ -82,7 +82,7 @@ pages("links_like", "<a (href like '/t%')>:href", LINKS + ", k AS (SELECT * FROM
 pages("range_before_predicate", "<a IRAN (tx<>'the')>1-2:tx", LINKS + ", k AS (SELECT * FROM links WHERE pos < 2 AND tx <> 'the') SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, tx FROM k")
 pages("link_records", "<a>{link=:href; label=:tx &tx &trim}", LINKS + " SELECT page_id, pos, href AS link, trim(replace(tx, '&amp;', '&')) AS label FROM links")
 pages("records_where", "<a>{href=:href; t=:tx | strlen(t)>3}", LINKS + " SELECT page_id, pos, href, tx AS t FROM links WHERE strlen(tx) > 3")
-pages("records_where_words", "<a>{a=:href; b=:tx &tx &trim | text_words(b)>=1 and not (a is null)}", None)
+pages("records_where_words", "<a>{a=:href; b=:tx &tx &trim | text_words(b)>=1 and not (a is null)}", LINKS + " SELECT page_id, pos, href AS a, trim(replace(tx, '&amp;', '&')) AS b FROM links WHERE regexp_matches(tx, '[^\\x00-\\x7F]|[A-Za-z0-9_]')")
 pages("records_computed", "<a>{href=:href; t=:tx | t <> 'the' | joined=t+'#'+href; n=strlen(t)*2}", LINKS + " SELECT page_id, pos, tx || '#' || href AS joined, CAST(strlen(tx) * 2 AS VARCHAR) AS n FROM links WHERE tx <> 'the'")
 pages("records_substr", "<a>{t=:tx | | a=substr(t,1,2); b=strfind(t,'e'); c=lower(t)}", LINKS + " SELECT page_id, pos, substr(tx, 2, 2) AS a, CAST(instr(tx, 'e') - 1 AS VARCHAR) AS b, lower(tx) AS c FROM links")
 pages("records_of_pages", "<html>{title=<title>:tx; links=<a>&tuple_count; first=<a>1:href}", LINKS + ", c AS (SELECT page_id, CAST(count(*) AS VARCHAR) AS links, min_by(href, pos) AS first FROM links GROUP BY page_id) SELECT p.page_id, 0 AS pos, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, coalesce(c.links, '0') AS links, c.first FROM pages p LEFT JOIN c USING (page_id)")
@@ -92,7 +92,7 @@ pages("with_variable", "<a (tx=wanted)>:href,tx", LINKS + ", k AS (SELECT * FROM
 
 pages("links_joined", "<a>:tx /|/", LINKS + " SELECT p.page_id, 0 AS pos, coalesce(string_agg(tx, '|' ORDER BY pos), '') AS value FROM pages p LEFT JOIN links USING (page_id) GROUP BY p.page_id")
 pages("fields_joined", "<a>:href,tx */ => /", LINKS + " SELECT page_id, pos, href || ' => ' || tx AS value FROM links")
-pages("nested_joined", "<ul>{items=<li>:tx} **/; /", None)
+pages("nested_joined", "<ul>{items=<li>:tx} **/; /", _elements("li") + " SELECT page_id, 0 AS pos, string_agg(tx, '; ' ORDER BY pos) AS items FROM e GROUP BY page_id")
 pages("links_counted", "<a>&tuple_count", LINKS + " SELECT p.page_id, 0 AS pos, CAST(count(links.pos) AS VARCHAR) AS value FROM pages p LEFT JOIN links USING (page_id) GROUP BY p.page_id")
 
 # ---- plain delimiters
@@ -111,7 +111,7 @@ pages("titles_encoded", "<a>:href &html_encode", LINKS + " SELECT page_id, pos,
 pages("titles_decoded", "<title>:tx &html_decode", _elements("title") + " SELECT page_id, pos, replace(replace(replace(replace(tx, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS tx FROM e")
 pages("links_resolved", "<a>:href &url", LINKS + " SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || href ELSE href END AS href FROM links")
 pages("headings_stripped", "<h1>&tx", _elements("h1") + " SELECT page_id, pos, replace(replace(replace(tx, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&') AS value FROM e")
-pages("stripped_text", "<article>&txstr", None)
+pages("stripped_text", "<article>&txstr", _elements("article") + r" SELECT page_id, pos, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(tx, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '[ \t\r\n<>]+', ' ', 'g')) AS value FROM e")
 pages("page_titles", "&html_title", _elements("title") + " SELECT page_id, pos, trim(replace(replace(replace(tx, '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')) AS value FROM e")
 pages("main_text", "&html_main_text", None)
 pages("form_controls", "<form>&form_inputs", None)
@@ -119,14 +119,14 @@ pages("tag_attributes", "<a>1 &tag_attrs", LINKS + " SELECT page_id, pos, '<tag_
 pages("parents_of_links", "<a>1 &tag_parent('li')", _elements("li", 0) + " SELECT page_id, pos, tx AS value FROM e WHERE pos = 0")
 pages("tags_after_links", "<a>1 &tag_next", None)
 pages("tag_positions", "<h1>&position", "WITH e AS (SELECT page_id, instr(html, '<h1>') - 1 AS a, length(regexp_extract(html, '<h1>.*?</h1>', 0, 's')) AS n FROM pages) SELECT page_id, 0 AS pos, '<position from=\"' || a || '\" to=\"' || (a + n) || '\" length=\"' || n || '\">' AS value FROM e")
-pages("leaf_tags", "<nav>&tag_leaves", None)
+pages("leaf_tags", "<nav>&tag_leaves", "WITH m AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<a\\s[^>]*>[^<]*</a>') AS v FROM pages) SELECT page_id, CAST(unnest(range(len(v))) AS INTEGER) AS pos, unnest(v) AS value FROM m")
 pages("repeated_patterns", "<nav>&repeat_patterns(3)", None)
 pages("queries_found", "<h1>&find_query", "SELECT page_id, 0 AS pos, '<h1 NORECUR>1' AS value FROM pages")
 pages("list_views", "&find_repeat_views(2)")
 pages("best_view", "&find_best_views(1)")
 pages("leaf_records", "<li>1 &leaves_schema_query", "SELECT page_id, 0 AS pos, '{f1=<a NORECUR>1:tx}' AS value FROM pages")
 pages("nested_query", "<nav>{first=&query('<a>1:href')}", LINKS + " SELECT page_id, 0 AS pos, href AS first FROM links WHERE pos = 0")
-texts("email_addresses", "&get_email", None)
+texts("email_addresses", "&get_email", r"SELECT doc_id, 0 AS pos, array_to_string(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+'), chr(10)) AS value FROM documents")
 texts("dates_found", "&get_date(1)", None)
 texts("numbers_found", "&get_number(1)")
 

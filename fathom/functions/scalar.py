@@ -248,7 +248,7 @@ def text_words(s, kind="count", option=""):
 def get_email(s, pattern=""):
     """Addresses, one a line; in a pattern %m stands for the address and %n for the words before it."""
     out = []
-    for m in re.finditer(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", s := _s(s)):
+    for m in re.finditer(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", s := _s(s), re.A):
         before = re.search(r"((?:[A-Z][\w'-]*\s+)*[A-Z][\w'-]*)[\s<(\"]*\Z", s[: m.start()])
         out.append((_s(pattern) or "%m").replace("%m", m[0]).replace("%n", before[1] if before else ""))
     return "\n".join(out)
