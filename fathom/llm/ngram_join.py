@@ -31,10 +31,13 @@ PACK_TEXTS = 4000
 COUNT_BITS = 2
 
 #: 64-bit words of a set's bitmap, which bounds overlaps from above.
-SKETCH_WORDS = 32
+SKETCH_WORDS = 16
 
-#: Rounds in which each set is compared with its most alike set outside its component only, before all that is left.
-NEAR_ROUNDS = 3
+#: Keys that are broadcast to pick texts, a few MB at most; for more the texts are shuffled once.
+BROADCAST_KEYS = 1_000_000
+
+#: Candidate pairs of a round, two numbers each, that are broadcast; more are shuffled.
+BROADCAST_PAIRS = 500_000
 
 U = np.uint64
 
@@ -201,61 +204,102 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 # ---- the survivors
 
 
-def _segments(docs: DataFrame, bits: int) -> DataFrame:
-    """Of each text and fragment of the whole order: set, n, fragment, grams (64 bits each)."""
+def _packed(where: np.ndarray, ids: np.ndarray, sizes: np.ndarray, who: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Rows (place, sets, ns, runs, *columns) as bytes, one for each place; who: index into ids and sizes of each n-gram."""
+    order = np.lexsort((who, where))
+    where, who, columns = where[order], who[order], [c[order] for c in columns]
+    edges = np.flatnonzero(np.diff(np.concatenate([[-1], where, [-1]]))).tolist()
+    out = []
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        starts = np.flatnonzero(np.diff(np.concatenate([[-1], who[a:z]])))
+        runs = np.diff(np.append(starts, z - a)).astype(np.uint32)
+        own = who[a:z][starts]
+        out.append((int(where[a]), ids[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), runs.tobytes(), *(c[a:z].tobytes() for c in columns)))
+    return out
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names)
+
+
+def _read(t: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(t[column].to_pylist()), kind)
+
+
+def _segments(bits: int):
+    """Of each fragment of the whole order and pack of texts: fragment, sets, ns, runs, grams (64 bits each)."""
+    names = ["fragment", "sets", "ns", "runs", "grams"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def pack() -> pa.RecordBatch:
+            size = np.array([len(g) for g in held.values()])
+            flat = np.concatenate(list(held.values()))
+            return _batch(_packed((flat >> U(64 - bits)).astype(np.int64), np.fromiter(held, np.int64, len(held)), size, np.repeat(np.arange(len(held)), size), flat), names)
+
         for b in batches:
-            out: list[tuple] = []
             for grams in shingle_sets(b.column(0).to_pylist()):
-                own, where = set_id(grams), (grams >> U(64 - bits)).astype(np.int64)
-                edges = np.flatnonzero(np.diff(np.concatenate([[-1], where, [-1]]))).tolist()
-                out += [(own, len(grams), int(where[a]), grams[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["set", "n", "fragment", "grams"])
+                if len(grams):
+                    held.setdefault(set_id(grams), grams)
+            if len(held) >= PACK_TEXTS:
+                yield pack()
+                held.clear()
+        if held:
+            yield pack()
 
-    return docs.mapInArrow(rows, "set long, n long, fragment long, grams binary")
+    return rows
 
 
-def _shared_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each fragment: the segments without the n-grams that no other set has, and how many sets have each one left."""
-    for t in _groups(batches, "fragment"):
-        blobs = t["grams"].to_pylist()
-        size = np.array([len(x) // 8 for x in blobs])
-        flat = np.frombuffer(b"".join(blobs), U)
-        _, at, df = np.unique(flat, return_inverse=True, return_counts=True)
-        df = df[at].astype(np.uint32)
-        keep = df > 1
-        end = np.cumsum(keep)[np.cumsum(size) - 1]
-        begin = np.concatenate([[0], end[:-1]])
-        left, df = flat[keep], df[keep]
-        full = np.flatnonzero(end > begin)
-        spans = list(zip(begin[full].tolist(), end[full].tolist(), strict=True))
-        take = pa.array(full)
-        cols = [t[c].combine_chunks().take(take) for c in ("set", "n")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([left[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([df[a:z].tobytes() for a, z in spans], pa.binary())], ["set", "n", "grams", "df"])
+def _shared_segments(bits: int):
+    """Of each fragment, without the n-grams that only one set has: by bucket of sets, sets, ns, runs, grams, and df (how many sets have each, at most 65535)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "fragment"):
+            ids, at = np.unique(_read(t, "sets", np.int64), return_inverse=True)
+            sizes = np.zeros(len(ids), np.uint32)
+            sizes[at] = _read(t, "ns", np.uint32)
+            who, grams = np.repeat(at, _read(t, "runs", np.uint32)), _read(t, "grams", U)
+            order = np.lexsort((who, grams))
+            who, grams = who[order], grams[order]
+            new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (who[1:] != who[:-1])])
+            who, grams = who[new], grams[new]
+            _, at, df = np.unique(grams, return_inverse=True, return_counts=True)
+            df = df[at]
+            keep = df > 1
+            who, grams, df = who[keep], grams[keep], np.minimum(df[keep], 65535).astype(np.uint16)
+            bucket = (ids[who].view(U) >> U(64 - bits)).astype(np.int64)
+            yield _batch(_packed(bucket, ids, sizes, who, grams, df), ["bucket", "sets", "ns", "runs", "grams", "df"])
+
+    return rows
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each set: its shared n-grams, rarest first, then by hash; its prefix's length in them; its bitmap."""
-    for b in batches:
+    """Of each set with enough of them: its shared n-grams, rarest first, then by hash; its prefix's length in them; its bitmap."""
+    for t in _groups(batches, "bucket"):
+        runs = _read(t, "runs", np.uint32)
+        own, grams, df = np.repeat(_read(t, "sets", np.int64), runs), _read(t, "grams", U), _read(t, "df", np.uint16)
+        sizes = np.repeat(_read(t, "ns", np.uint32), runs)
+        order = np.lexsort((grams, df, own))
+        own, grams, sizes = own[order], grams[order], sizes[order]
+        edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist() if len(own) else [0]
         out: list[tuple] = []
-        for own, n, segments in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            grams = np.concatenate([np.frombuffer(s["grams"], U) for s in segments])
-            df = np.concatenate([np.frombuffer(s["df"], np.uint32) for s in segments])
-            if len(grams) < need(n):
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            n, mine = int(sizes[a]), grams[a:z]
+            if len(mine) < need(n):
                 continue
-            grams = grams[np.lexsort((grams, df))]
-            alone = n - len(grams)
+            alone = n - len(mine)
             sketch = np.zeros(SKETCH_WORDS, U)
-            np.bitwise_or.at(sketch, (grams >> U(6)) % U(SKETCH_WORDS), U(1) << (grams & U(63)))
-            out.append((own, n, alone, max(0, n - need(n) + 1 - alone), grams.tobytes(), sketch.tobytes()))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.binary()) for c in cols[4:])], ["set", "n", "alone", "prefix", "grams", "sketch"])
+            np.bitwise_or.at(sketch, (mine >> U(6)) % U(SKETCH_WORDS), U(1) << (mine & U(63)))
+            out.append((int(own[a]), n, alone, max(0, n - need(n) + 1 - alone), mine.tobytes(), sketch.tobytes()))
+        for i in range(0, len(out), 500):
+            cols = list(zip(*out[i : i + 500], strict=True))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.binary()) for c in cols[4:])], ["set", "n", "alone", "prefix", "grams", "sketch"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, n, set, place (in the set's order, n-grams of its own first), alone, sketch: of each n-gram of a prefix."""
+    """gram, n, set, place (in the set's order, n-grams of its own first), alone: of each n-gram of a prefix."""
     for b in batches:
         own, n, alone, prefix = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         k = np.repeat(np.arange(len(own)), prefix)
@@ -263,50 +307,51 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         grams = np.concatenate([np.frombuffer(g, U)[:p] for g, p in zip(b.column(4).to_pylist(), prefix.tolist(), strict=True)])
         place = np.arange(len(k)) - np.repeat(np.cumsum(prefix) - prefix, prefix) + alone[k]
-        for i in range(0, len(k), 20_000):
-            s = slice(i, i + 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(grams[s].view(np.int64)), pa.array(n[k[s]]), pa.array(own[k[s]]), pa.array(place[s]), pa.array(alone[k[s]]), b.column(5).take(pa.array(k[s]))], ["gram", "n", "set", "place", "alone", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n[k]), pa.array(own[k]), pa.array(place), pa.array(alone[k])], ["gram", "n", "set", "place", "alone"])
+
 
+ENTRY = "gram long, n long, set long, place long, alone long"
 
-ENTRY = "gram long, n long, set long, place long, alone long, sketch binary"
+#: How candidates are chosen, round by round: neighbours in the order of size; of each set and n-gram the most alike; twice; all that is left.
+ROUNDS = ("next", "nearest", "nearest", "all")
 
 
-def _candidates(nearest: bool):
+def _candidates(how: str):
     """Pairs (a < b, two sets' ids) that share a prefix n-gram, may overlap enough and lie in different components.
 
-    At the first n-gram that both have, no more can follow than the shorter rest of the two; the
-    bitmaps bound the overlap again. With ``nearest``, of each set and n-gram only its most alike partner.
+    At the first n-gram that both have, no more can follow than the shorter rest of the two; in all
+    but the first round bitmaps bound the overlap again.
     """
 
     def block(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         gram, n, own, place, alone, group = (t[c].to_numpy() for c in ("gram", "n", "set", "place", "alone", "component"))
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, SKETCH_WORDS)
+        sketch = np.zeros((len(gram), 1), U) if how == "next" else np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, SKETCH_WORDS)
         end = np.searchsorted(gram, gram, "right")
         i, d, pairs = np.arange(len(gram)), 0, []
         best, whom = np.full(len(gram), np.iinfo(np.int64).max), np.full(len(gram), -1)
-        while True:
+        while len(i) and not (how == "next" and d):
             d += 1
             i = i[i + d < end[i]]
             i = i[BELOW * n[i] >= ABOVE * n[i + d]]  # sorted by n: once too long, all later are
-            if not len(i):
-                break
-            j = i + d
-            sums = n[i] + n[j]
+            sums = n[i] + n[i + d]
             least = -(-ABOVE * sums // (ABOVE + BELOW))
-            ok = (group[i] != group[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
-            a, b, least, sums = i[ok], j[ok], least[ok], sums[ok]
+            ok = (group[i] != group[i + d]) & (np.minimum(n[i] - place[i], n[i + d] - place[i + d]) >= least)
+            a, least, sums = i[ok], least[ok], sums[ok]
             for at in range(0, len(a), 50_000):
-                x, y = a[at : at + 50_000], b[at : at + 50_000]
-                apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) + alone[x] + alone[y]
-                ok = sums[at : at + 50_000] - apart >= 2 * least[at : at + 50_000]
-                x, y, apart = x[ok], y[ok], apart[ok]
-                if nearest:
+                x = a[at : at + 50_000]
+                y = x + d
+                apart = np.zeros(len(x), np.int64)
+                if how != "next":
+                    apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) + alone[x] + alone[y]
+                    ok = sums[at : at + 50_000] - apart >= 2 * least[at : at + 50_000]
+                    x, y, apart = x[ok], y[ok], apart[ok]
+                if how == "nearest":
                     for p, q in ((x, y), (y, x)):
                         nearer = apart < best[p]
                         best[p[nearer]], whom[p[nearer]] = apart[nearer], q[nearer]
                 else:
                     pairs.append((own[x], own[y]))
-        if nearest:
+        if how == "nearest":
             x = np.flatnonzero(whom >= 0)
             pairs = [(own[x], own[whom[x]])]
         a, b = (np.concatenate([p[k] for p in pairs] or [np.zeros(0, np.int64)]) for k in (0, 1))
@@ -343,6 +388,8 @@ def _counting_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Of pairs (a, b) those that link: partial overlaps are counted fragment by fragment and summed per pair."""
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
     second = pairs.join(segments.select(F.col("set").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb")), "b")
     both = second.join(segments.select(F.col("set").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
     parts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
@@ -407,23 +454,38 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     may = sets.join(shared, "set", "left").where(F.col("part") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") * (BELOW - ABOVE) / BELOW))
     survivors = written(may.select("set", "n", "first_key"), "survivors")
     left = survivors.agg(F.sum("n")).first()[0] or 0
-    wanted = survivors.select("first_key").distinct()
+    wanted = written(survivors.select("first_key").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     members = slim.join(wanted, slim["key"].eqNullSafe(wanted["first_key"]), "left_semi")
     bits = _fragment_bits(left)
-    segments = _segments(members.select("text"), bits).join(survivors.select("set"), "set", "left_semi").dropDuplicates(["set", "fragment"])
-    kept = segments.repartition(1 << bits, "fragment").sortWithinPartitions("fragment").mapInArrow(_shared_segments, "set long, n long, grams binary, df binary")
-    whole = kept.groupBy("set").agg(F.first("n").alias("n"), F.collect_list(F.struct("grams", "df")).alias("segments"))
-    ordered = written(whole.mapInArrow(_ordered, "set long, n long, alone long, prefix long, grams binary, sketch binary"), "ordered")
-    entries = written(ordered.mapInArrow(_prefixes, ENTRY), "prefixes")
-    parts = written(ordered.select("set", "n", "grams").mapInArrow(_counting_segments, "set long, n long, fragment long, grams array<long>"), "parts")
+    packs = members.select("text").mapInArrow(_segments(bits), "fragment long, sets binary, ns binary, runs binary, grams binary")
+    shared = packs.repartition(1 << bits, "fragment").sortWithinPartitions("fragment").mapInArrow(_shared_segments(bits), "bucket long, sets binary, ns binary, runs binary, grams binary, df binary")
+    whole = shared.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_ordered, "set long, n long, alone long, prefix long, grams binary, sketch binary")
+    ordered = written(whole, "ordered")
+    parts = ordered.select("set", "n", "grams").mapInArrow(_counting_segments, "set long, n long, fragment long, grams array<long>")
+    entries = written(ordered.select("set", "n", "alone", "prefix", "grams").mapInArrow(_prefixes, ENTRY), "prefixes")
     links, found = None, None
-    for k in range(NEAR_ROUNDS + 1):
-        placed = entries.withColumn("component", F.col("set")) if found is None else entries.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        lists = placed.select("gram", "n", "set", "place", "alone", "sketch", "component").repartition("gram").sortWithinPartitions("gram", "n", "set")
-        pairs = lists.mapInArrow(_candidates(k < NEAR_ROUNDS), "a long, b long").distinct()
+    for k, how in enumerate(ROUNDS):
+        if found is None:
+            placed = entries.withColumn("component", F.col("set"))
+        else:  # only n-grams that still have sets of two components matter, from now on
+            placed = entries.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
+            open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
+            placed = written(placed.join(open_, "gram", "left_semi"), "open")
+            entries = placed.drop("component")
+        if how != "next":
+            placed = placed.join(ordered.select("set", "sketch"), "set")
+        lists = placed.repartition("gram").sortWithinPartitions("gram", "n", "set")
+        pairs = written(lists.mapInArrow(_candidates(how), "a long, b long").distinct(), "pairs")
+        if not pairs.limit(1).count():
+            if how != "next":
+                break
+            continue
         new = written(linked(pairs, parts), "links")
         links = new if links is None else links.union(new)
         found = components(links, f"round{k}")
+    if found is None:
+        found = spark.createDataFrame([], "set long, component long")
     named = sets.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
     small = named.groupBy("component").agg(F.min(F.struct(F.col("first_key").isNull().alias("k"), F.col("first_key").alias("v")))["v"].alias("component_id"))
     ids = written(named.join(small, "component").select("set", "component_id"), "names")
@@ -431,7 +493,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_KEYS) -> DataFrame:
     """The rows of docs whose key is its component's smallest, with all their columns.
 
     Only the keys to drop meet the texts: broadcast while there are at most broadcast_rows of them
