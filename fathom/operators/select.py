@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.plans.columns import Typed, column
+from fathom.plans.columns import condition as filter_of
 from fathom.plans.expressions import SyntaxProblem
 from fathom.plans.nodes import Schema
 from fathom.plans.parser import field_names, parse
@@ -71,7 +72,7 @@ def query(docs: DataFrame, text: str, source: str = "html", url: str | None = "u
     condition = None
     try:
         if after is not None:
-            condition = column(after.condition, fields).truth() if after.condition is not None else None
+            condition = filter_of(after.condition, fields) if after.condition is not None else None
             columns = [(n or (names[0] if k == 0 else f"_{k + 1}"), column(e, fields).text()) for k, (n, e) in enumerate(after.outputs)] or columns
     except SyntaxProblem:  # no built-in form: all within the document
         inside, condition, names = steps, None, field_names(steps) or ["value"]

@@ -70,9 +70,14 @@ def like(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(f"(?is)\\A(?:{body})\\z"), F.lit(False))
 
 
+COMPARISONS: dict[str, Callable] = {
+    "=": lambda x, y: x == y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<>": lambda x, y: x != y,
+    "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y,
+}
+
+
 def compare(op: str, a: Typed, b: Typed) -> Column:
-    ops: dict[str, Callable] = {"=": lambda x, y: x == y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<>": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
-    do = ops[op]
+    do = COMPARISONS[op]
     if "date" in (a.kind, b.kind):
         return F.coalesce(do(a.date(), b.date()), F.lit(False))
     if "number" in (a.kind, b.kind) or "bool" in (a.kind, b.kind):
@@ -90,6 +95,25 @@ def compare(op: str, a: Typed, b: Typed) -> Column:
     return F.when(both, F.coalesce(do(a.number(), b.number()), F.lit(False))).otherwise(text)
 
 
+def condition(node, fields: Mapping[str, Typed]) -> Column:
+    """An expression as a filter: NULL and false both drop a row there, so comparisons stay bare and reach the scan."""
+    if isinstance(node, Binary):
+        if node.op == "and":
+            return condition(node.left, fields) & condition(node.right, fields)
+        if node.op == "or":
+            return condition(node.left, fields) | condition(node.right, fields)
+        if node.op in COMPARISONS:
+            a, b = column(node.left, fields), column(node.right, fields)
+            do = COMPARISONS[node.op]
+            if "date" in (a.kind, b.kind):
+                return do(a.date(), b.date())
+            if {"number", "bool"} & {a.kind, b.kind}:
+                return do(a.number(), b.number())
+            if b.literal and isinstance(node.right, Literal) and node.right.value not in (None, "") and node.op not in ("!=", "<>", "<", "<="):
+                return do(a.column, b.column)
+    return column(node, fields).truth()
+
+
 def column(node, fields: Mapping[str, Typed]) -> Typed:
     """An expression over fields (name in lower case, and %n, to column). Raises SyntaxProblem for what has no built-in form."""
     if isinstance(node, Literal):
@@ -116,7 +140,7 @@ def column(node, fields: Mapping[str, Typed]) -> Typed:
     op, a, b = node.op, column(node.left, fields), column(node.right, fields)
     if op in ("and", "or"):
         return Typed(a.truth() & b.truth() if op == "and" else a.truth() | b.truth(), "bool")
-    if op in ("=", "==", "!=", "<>", "<", "<=", ">", ">="):
+    if op in COMPARISONS:
         return Typed(compare(op, a, b), "bool")
     if op == "like":
         if not (isinstance(node.right, Literal) and node.right.kind == "text"):

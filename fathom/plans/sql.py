@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.plans.columns import Typed, column
+from fathom.plans.columns import condition as filter_of
 from fathom.plans.expressions import Parser, SyntaxProblem, names_in
 from fathom.plans.nodes import Binary, Call, Name, Unary
 
@@ -247,7 +248,7 @@ def _select(df: DataFrame, p: Clauses, names: dict[str, str] | None = None) -> D
     fields = fields_of(df)
     fields |= {k: fields[v.lower()] for k, v in (names or {}).items()}
     if where is not None:
-        df = df.where(column(where, fields).truth())
+        df = df.where(filter_of(where, fields))
     found: dict[str, Call] = {}
     plain = [(n, _without_aggregates(e, found)) for n, e in outputs]
     having = _without_aggregates(having, found) if having is not None else None
@@ -266,7 +267,7 @@ def _select(df: DataFrame, p: Clauses, names: dict[str, str] | None = None) -> D
     made = [(n, column(e, fields)) for n, e in plain]
     fields = {n.lower(): t for n, t in made} | fields
     if having is not None:
-        df = df.where(column(having, fields).truth())
+        df = df.where(filter_of(having, fields))
     keys = []
     for e, kind, down in orders:
         t = column(e, fields)

@@ -56,7 +56,7 @@ def values(source, query, **kw):
         ("a<b>c</b>d<i>", "<b>:px,fx,xx,hx", [["a", "c", "d", "<b>c</b>d"]]),
         ("<br/>t<hr>", "<br>", [["<br/>"]]),
         (A, "'<b>k</b>' <b>:tx", [["k"]]),
-        (A, "(<a>)2:tx", []) if False else (A, "(<a>2):tx", [["2"]]),
+        (A, "(<a>2):tx", [["2"]]),
     ],
 )
 def test_worked_examples(source, query, expected):
@@ -69,7 +69,7 @@ def test_functions_on_rows():
     assert values("k=v=w", "&after('=')") == [["v=w"]]
     assert values("k=v=w", "&after('=',2)") == [["w"]]
     assert values("k", "&before('=')") == [[""]]
-    assert values("banana", "&char_replace('an','o')") == [["booo".replace("ooo", "ooo")]] or values("banana", "&char_replace('an','o')") == [["booo"]]
+    assert values("banana", "&char_replace('an','o')") == [["booo"]]
     assert values("tel 12 and -3.5e2", "&get_number(2)") == [["-350"]]
     assert values("on 3 March 2021, then 2020-01-02", "&get_date(2)") == [["2020/01/02"]]
     assert values('a,"b,c",d', "&get_csvfield(',',2)") == [["b,c"]]
@@ -90,7 +90,7 @@ def test_updates_of_the_source():
 
 
 def test_records_of_records_and_nulls():
-    assert values("<ul><li>1<li>2</ul>", "<ul>{n=<li>:tx} **/,/") == [["1<li>2,2"]] or True
+    assert values("<ul><li>1<li>2</ul>", "<ul>{n=<li>:tx} **/,/") == [["1,2</ul>"]]
     assert values("<a><b>1</b></a><a></a>", "<a>{t=<b>:tx}") == [["1"], [None]]
     assert values("<a><b>1</b></a><a></a>", "<a>{t=<b>:tx | t is null}") == [[None]]
     assert values("", "<a>:tx") == []
