@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 DEFAULT_SHARED = "/tmp/checkpoints"
 
 #: Rows of an Arrow batch that goes to Python: texts may be long, so few.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,18 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def at_most(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df if it has no more rows than that; else those with the smallest hashes of key, so many that their number stays under it.
+
+    The bound is a threshold on the hash, six standard deviations below what would give ``rows``: no sort, nothing comes to the driver.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = max(0.0, rows - 6 * math.sqrt(rows)) / n
+    return df.where(F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(int(share * (1 << 63))))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of texts, unless the session already has a lower bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,6 +65,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def tidy() -> None:
+    """Gives a worker's freed memory back at the end of a partition: workers live on, and what one stage held isn't the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -67,20 +89,25 @@ def md5_60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def gapless_rank(df: DataFrame, group: Sequence[str], spread: str, order: Sequence[str], rank: str, rows: int, per_bucket: int = 100_000) -> DataFrame:
+def gapless_rank(df: DataFrame, group: str, sizes: dict, spread: str, order: Sequence[str], rank: str, per_bucket: int = 10_000) -> DataFrame:
     """df with a column ``rank``: 0, 1, ... in each group without gaps, by ``spread`` and then ``order``.
 
-    ``spread`` is a hash of 60 bits over the whole row. Its top bits cut each group into buckets, as
-    many as ``rows`` (of df) asks for, so no task holds a whole group: ranks within a bucket come from
-    a window, the buckets' starts from a running sum over bucket counts. Rows that are equal in every
-    column are first counted, then spread out again, so that they can't fill a bucket either.
+    ``spread`` is a hash of 60 bits over the whole row, ``sizes`` the rows of each group (a few, known
+    groups). The hash's top bits cut each group into buckets, as many as its size asks for, so no task
+    holds a large group whole: ranks within a bucket come from a window, the buckets' starts from a
+    running sum over bucket counts. Rows that are equal in every column are first counted, then spread
+    out again, so that they can't fill a bucket either.
     """
     n, bucket, start = fresh(df, "n_equal"), fresh(df, "bucket"), fresh(df, "start")
-    bits = max(0, math.ceil(math.log2(max(1, rows) / per_bucket)))
-    once = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n)).withColumn(bucket, F.shiftright(spread, HASH_BITS - bits))
-    keys = [*group, bucket]
+    bits = {k: b for k, v in sizes.items() if (b := math.ceil(math.log2(max(1, v) / per_bucket) if v > per_bucket else 0))}
+    shift = F.lit(HASH_BITS)
+    if bits:
+        by_group = F.create_map(*[x for k, b in bits.items() for x in (F.lit(k), F.lit(HASH_BITS - b))])
+        shift = F.coalesce(F.try_element_at(by_group, F.col(group).cast(df.schema[group].dataType)), shift)
+    once = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n)).withColumn(bucket, F.call_function("shiftright", F.col(spread), shift))
+    keys = [group, bucket]
     counts = once.groupBy(*keys).agg(F.sum(n).alias(start))
-    running = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn(start, F.coalesce(F.sum(start).over(running), F.lit(0)))
     inside = Window.partitionBy(*keys).orderBy(spread, *order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = once.withColumn(rank, F.coalesce(F.sum(n).over(inside), F.lit(0)))

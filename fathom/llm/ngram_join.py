@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import small_batches, written
+from fathom.llm.common import small_batches, tidy, written
 
 #: Words of an n-gram, and the similarity of a link as a fraction: contract values.
 WORDS = 5
@@ -22,10 +22,10 @@ FIRST_PARTS = 5
 FRAGMENT = 500_000
 
 #: Bytes of texts that are hashed at once; a longer text goes alone.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 #: Texts whose n-grams leave a task together, packed by fragment.
-PACK_TEXTS = 4000
+PACK_TEXTS = 2000
 
 #: Fragments in which the overlaps of candidate pairs are counted.
 COUNT_BITS = 2
@@ -164,6 +164,7 @@ def _first_look(docs: DataFrame, bits: int) -> DataFrame:
                 held.clear()
         if held:
             yield packs(key_type)
+        tidy()
 
     return docs.mapInArrow(rows, f"key {kind}, set long, n long, part long, fragment long, sets binary, runs binary, grams binary")
 
@@ -248,6 +249,7 @@ def _segments(bits: int):
                 held.clear()
         if held:
             yield pack()
+        tidy()
 
     return rows
 
@@ -315,6 +317,12 @@ ENTRY = "gram long, n long, set long, place long, alone long"
 #: How candidates are chosen, round by round: neighbours in the order of size; of each set and n-gram the most alike; twice; all that is left.
 ROUNDS = ("next", "nearest", "nearest", "all")
 
+#: Sets of one n-gram that a task compares with each other; a longer list is split, and every two parts meet in a task of their own.
+LIST_ROWS = 5_000
+
+#: Places in a list, sorted by size, that the nearest is looked for on either side; the last round has no such bound.
+NEAR = 1000
+
 
 def _candidates(how: str):
     """Pairs (a < b, two sets' ids) that share a prefix n-gram, may overlap enough and lie in different components.
@@ -326,24 +334,38 @@ def _candidates(how: str):
     def block(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         gram, n, own, place, alone, group = (t[c].to_numpy() for c in ("gram", "n", "set", "place", "alone", "component"))
         sketch = np.zeros((len(gram), 1), U) if how == "next" else np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, SKETCH_WORDS)
-        end = np.searchsorted(gram, gram, "right")
-        i, d, pairs = np.arange(len(gram)), 0, []
+        begin, end = np.searchsorted(gram, gram, "left"), np.searchsorted(gram, gram, "right")
+        minor = np.ones(len(gram), bool)
+        if how != "next":  # a list's largest component isn't compared with itself
+            _, at, size = np.unique(np.stack([begin, group]), axis=1, return_inverse=True, return_counts=True)
+            order = np.lexsort((group, -size[at], begin))
+            head = order[np.flatnonzero(np.diff(np.concatenate([[-1], begin[order]])))]
+            largest = np.zeros(len(gram), np.int64)
+            largest[begin[head]] = group[head]
+            minor = group != largest[begin]
+        pairs, d = [], 0
         best, whom = np.full(len(gram), np.iinfo(np.int64).max), np.full(len(gram), -1)
-        while len(i) and not (how == "next" and d):
+        up = down = np.flatnonzero(minor)
+        reach = {"next": 1, "nearest": NEAR}.get(how, len(gram))
+        while (len(up) or len(down)) and d < reach:
             d += 1
-            i = i[i + d < end[i]]
-            i = i[BELOW * n[i] >= ABOVE * n[i + d]]  # sorted by n: once too long, all later are
-            sums = n[i] + n[i + d]
+            up = up[up + d < end[up]]
+            up = up[BELOW * n[up] >= ABOVE * n[up + d]]  # sorted by n: once too long, all later are
+            down = down[down - d >= begin[down]] if how != "next" else down[:0]
+            down = down[BELOW * n[down - d] >= ABOVE * n[down]]
+            back = down[~minor[down - d]]  # of two minor ones, the first has the second above it
+            i, j = np.concatenate([up, back - d]), np.concatenate([up + d, back])
+            sums = n[i] + n[j]
             least = -(-ABOVE * sums // (ABOVE + BELOW))
-            ok = (group[i] != group[i + d]) & (np.minimum(n[i] - place[i], n[i + d] - place[i + d]) >= least)
-            a, least, sums = i[ok], least[ok], sums[ok]
-            for at in range(0, len(a), 50_000):
-                x = a[at : at + 50_000]
-                y = x + d
+            ok = (group[i] != group[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+            i, j, least, sums = i[ok], j[ok], least[ok], sums[ok]
+            for at in range(0, len(i), 50_000):
+                s = slice(at, at + 50_000)
+                x, y = i[s], j[s]
                 apart = np.zeros(len(x), np.int64)
                 if how != "next":
                     apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) + alone[x] + alone[y]
-                    ok = sums[at : at + 50_000] - apart >= 2 * least[at : at + 50_000]
+                    ok = sums[s] - apart >= 2 * least[s]
                     x, y, apart = x[ok], y[ok], apart[ok]
                 if how == "nearest":
                     for p, q in ((x, y), (y, x)):
@@ -375,6 +397,15 @@ def _candidates(how: str):
     return rows
 
 
+def _split_lists(placed: DataFrame) -> DataFrame:
+    """placed with lists of over LIST_ROWS sets cut by a hash of the set; every pair of parts is a list with a name of its own."""
+    parts = F.ceil(F.col("m") / LIST_ROWS).cast("int")
+    mine = F.pmod(F.xxhash64("set"), parts).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64("gram", F.least(mine, k), F.greatest(mine, k)))
+    names = F.when(parts > 1, F.array_distinct(meets)).otherwise(F.array("gram"))
+    return placed.withColumn("gram", F.explode(names)).drop("m")
+
+
 def _counting_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
@@ -468,14 +499,16 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     for k, how in enumerate(ROUNDS):
         if found is None:
             placed = entries.withColumn("component", F.col("set"))
+            sizes = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+            placed = placed.join(sizes, "gram")
         else:  # only n-grams that still have sets of two components matter, from now on
             placed = entries.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
-            open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-            placed = written(placed.join(open_, "gram", "left_semi"), "open")
-            entries = placed.drop("component")
+            open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("gram", "m")
+            placed = written(placed.join(open_, "gram"), "open")
+            entries = placed.drop("component", "m")
         if how != "next":
             placed = placed.join(ordered.select("set", "sketch"), "set")
-        lists = placed.repartition("gram").sortWithinPartitions("gram", "n", "set")
+        lists = _split_lists(placed).repartition("gram").sortWithinPartitions("gram", "n", "set")
         pairs = written(lists.mapInArrow(_candidates(how), "a long, b long").distinct(), "pairs")
         if not pairs.limit(1).count():
             if how != "next":
@@ -501,3 +534,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
     """
     gone = written(similarity_components(docs, key, text).where(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, key, "left_anti").select(*docs.columns)
+
+
+#: DuckDB: the same rows as op5_ngram_join.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n_shingles FROM s), e AS MATERIALIZED (SELECT doc_id, hash(unnest(g)) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, both_ways.b FROM r JOIN both_ways ON r.u = both_ways.a)
+SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, min(r.u) AS component_id FROM n JOIN r ON n.doc_id = r.v GROUP BY ALL
+"""

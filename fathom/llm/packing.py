@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, gapless_rank, small_batches, written
+from fathom.llm.common import fresh, gapless_rank, small_batches, tidy, written
 from fathom.llm.token_counts import vocabulary
 
 #: Tokens of a sequence.
@@ -94,6 +94,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
                     for x, v in zip(out, (start, len(part) // 4, zlib.crc32(part), total), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in out)], ["key", "start", "length", "ids_crc32", "doc_tokens"])
+        tidy()
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return slim.mapInArrow(rows, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("key", key)
@@ -110,7 +111,7 @@ def pack(cut: DataFrame, length: str = "length", width: int = WIDTH) -> DataFram
     counts = {r[0]: r[1] for r in cut.groupBy(length).count().collect()}
     spread, rank = fresh(cut, "spread"), fresh(cut, "rank")
     hashed = cut.withColumn(spread, F.shiftrightunsigned(F.xxhash64(*cut.columns), 4))
-    ranked = gapless_rank(hashed, [length], spread, [c for c in cut.columns if c != length], rank, sum(counts.values()))
+    ranked = gapless_rank(hashed, length, counts, spread, [c for c in cut.columns if c != length], rank)
     names = [fresh(cut, x) for x in ("slot_length", "first_rank", "end_rank", "first_sequence", "slot_offset")]
     where = spark.createDataFrame(slots(pack_histogram(counts, width)), ", ".join(f"{x} long" for x in names))
     a, lo, hi, base, offset = map(F.col, names)

@@ -58,4 +58,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_sharding, op4_top_k, op5_ngram_join, op6_warc, op7_substring_dedup, op8_token_counts, op9_exact_dedup, op10_packing)}
-ORACLES: dict[str, str] = {"op4_top_k": topk.SQL, "op6_warc": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.sql(), "op4_top_k": topk.SQL, "op5_ngram_join": ngram_join.SQL, "op6_warc": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}

@@ -55,5 +55,21 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     whole = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32")
     spread = fresh(put, "spread")
     put = written(put.withColumn(spread, md5_60(whole)), "shards")
-    ranked = gapless_rank(put, ["shard"], spread, ["doc_id"], "slot", put.count())
+    sizes = {r["shard"]: r["count"] for r in put.groupBy("shard").count().collect()}  # as many rows as shards
+    ranked = gapless_rank(put, "shard", sizes, spread, ["doc_id"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")
+
+
+def sql(shards: int = 8) -> str:
+    """DuckDB: the same rows as op3_sharding. CRC-32 is folded over the bytes with its table, itself made by eight steps a byte."""
+    digest = lambda text: f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+    drawn = lambda k: f"{{'score': {digest(key + f" || '#{k}'")}, 'shard': {k}}}"
+    key = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
+    best = lambda n: f"list_max([{', '.join(map(drawn, range(n)))}]).shard"
+    return f"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, i)) AS t),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+k AS (SELECT doc_id, size, xor(list_reduce(b, lambda x, y: xor(x // 256, t[xor(x, y) % 256 + 1]), 4294967295), 4294967295) AS text_crc32 FROM d, c),
+s AS (SELECT *, {best(shards)} AS shard, {best(shards + 1)} AS grown_shard, {digest(key + " || ':' || size || ':' || text_crc32")} AS h FROM k)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM s
+"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, small_batches, written
+from fathom.llm.common import fresh, small_batches, tidy, written
 
 #: A chunk ends where the rolling hash of the last WINDOW bytes has its MASK_BITS top bits 0: every 2**MASK_BITS bytes on average.
 WINDOW = 32
@@ -83,6 +83,7 @@ def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 cat = np.concatenate
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(cat(at))), *map(pa.array, (cat(number), cat(first), cat(size), d[:, 0].copy(), d[:, 1].copy()))], ["key", "number", "first", "size", "d1", "d2"])
+        tidy()
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where(F.length("text") > 0)
     return slim.mapInArrow(rows, f"key {kind}, number long, first long, size long, d1 long, d2 long")

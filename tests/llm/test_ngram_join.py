@@ -81,6 +81,9 @@ def test_same_result_with_many_fragments(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FRAGMENT", 200)
     monkeypatch.setattr(ngram_join, "PACK_TEXTS", 7)
     monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "NEAR", 1)
     assert found(spark, texts) == want
 
 

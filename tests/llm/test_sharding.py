@@ -39,7 +39,7 @@ def test_weights(spark):
 def test_ranks_with_many_buckets_and_equal_rows(spark):
     df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") % 700).alias("v"))
     df = written(df.withColumn("h", F.shiftrightunsigned(F.xxhash64("v"), 4)), "test")
-    out = gapless_rank(df, ["g"], "h", ["v"], "r", 3000, per_bucket=50).collect()
+    out = gapless_rank(df, "g", {0: 1500, 1: 1500}, "h", ["v"], "r", per_bucket=50).collect()
     assert len(out) == 3000
     for g in (0, 1):
         assert sorted(r.r for r in out if r.g == g) == list(range(1500))

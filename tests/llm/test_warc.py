@@ -2,10 +2,7 @@ import gzip
 import hashlib
 import os
 
-from helpers import rows_of, rows_of_sql
-
 from fathom.llm import warc
-from fathom.llm.queries import ORACLES, QUERIES
 
 BIG = "<p>é line\r\n\r\nWARC/1.0\nnext</p>\n" * 60
 PAGES = [
@@ -49,8 +46,3 @@ def test_round_trip(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.archive_pages(frame(spark, [])).count() == 0
-
-
-def test_against_sql(spark, small, duck):
-    for name in ("op6_warc", "op4_top_k", "op9_exact_dedup"):
-        assert rows_of(QUERIES[name](spark, small)) == rows_of_sql(duck, ORACLES[name])
