@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import HASH_BITS, fresh, md5_60, small_batches, written
+from fathom.llm.common import HASH_BITS, at_most, fresh, md5_60, small_batches, tidy, written
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of the key.
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 
 #: Counted features: words by hash, and bytes.
 WORD_BUCKETS = 2048
@@ -30,7 +30,7 @@ RIDGE = 0.01
 ROUNDS, SETTLED = 60, 1e-5
 
 #: Words whose bucket a worker remembers; the table is emptied when full, which costs time only.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 
 class Buckets(dict):
@@ -87,23 +87,26 @@ def _curvature(x: np.ndarray) -> float:
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str], key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Classifier:
     """domains: name to an SQL condition over labels; the first that holds is a row's domain.
 
-    Labels without a key or a domain teach nothing; of a key's labels the first domain counts. At
-    most ``rows`` labels are taken, those with the smallest hash, so they may be broadcast.
+    Labels without a key or a domain teach nothing; of a key's labels the first domain counts, of its
+    rows the smallest text. At most ``rows`` labels are taken, those with the smallest hashes, so they
+    may be broadcast, and the driver gets no more than as many feature vectors.
     """
     small_batches(docs.sparkSession)
     domain = F.coalesce(*[F.when(F.expr(c), k) for k, c in enumerate(domains.values())])
     known = labels.select(F.col(key), domain.alias("domain")).where(F.col(key).isNotNull() & F.col("domain").isNotNull()).groupBy(key).agg(F.min("domain").alias("domain"))
-    some = known.orderBy(F.xxhash64(key), key).limit(rows)
-    train = docs.select(F.col(key), F.col(text).cast("binary").alias("text")).join(F.broadcast(some), key).select("text", "domain")
+    some = at_most(written(known, "domain-labels"), key, rows)
+    train = docs.select(F.col(key), F.col(text).cast("binary").alias("text")).join(F.broadcast(some), key).groupBy(key).agg(F.min("text").alias("text"), F.first("domain").alias("domain")).select("text", "domain")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t)[1].tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["domain", "x"])
 
-    seen = train.mapInArrow(vectors, "domain int, x binary").collect()[: 2 * rows]
+    seen = train.mapInArrow(vectors, "domain int, x binary").collect()
     y = np.array([r.domain for r in seen], np.int64)
-    x = np.frombuffer(b"".join(r.x for r in seen), np.float32).reshape(-1, FEATURES).copy()
-    del seen
+    x = np.empty((len(seen), FEATURES), np.float32)
+    for k in range(len(seen)):  # the rows go as the table grows: the driver holds the vectors about once
+        x[k] = np.frombuffer(seen[k].x, np.float32)
+        seen[k] = None
     counts = np.bincount(y, minlength=len(domains))
     weights = np.zeros((FEATURES, len(domains)))
     if len(y):
@@ -132,6 +135,7 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
             found = [features(t) for t in b.column(1).to_pylist()]
             p = model.posteriors(np.stack([x for _, x in found])) if found else np.zeros((0, len(model.known)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["key", "tokens", "posterior"])
+        tidy()
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     return slim.mapInArrow(rows, f"key {kind}, tokens long, posterior array<double>").withColumnRenamed("key", key)

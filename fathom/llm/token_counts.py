@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from fathom.llm.common import small_batches
 LIMIT = 1024
 
 #: Entries of a worker's table of merged pre-tokens; it is emptied when full, which costs time only.
-MERGED_ENTRIES = 300_000
+MERGED_ENTRIES = 200_000
 
 #: Where the pre-token patterns of all three libraries agree, character by character (tests check each one).
 #: Texts with any other character, or with a very long run of white space, go to the tokenizers library whole.
@@ -31,18 +32,28 @@ class Vocabulary:
         import public_tokenizers
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.file = public_tokenizers.path(f"{name}.json")
+        with open(self.file, encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.plain = regex.compile(PLAIN).fullmatch
         self.long_space = regex.compile(LONG_SPACE).search
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.merge = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.counts = Counts(self)
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's own, for proofs and for texts that aren't plain; others do without its memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
+    @cached_property
+    def counts(self) -> Counts:
+        return Counts(self)
 
     def is_plain(self, text: str) -> bool:
         """Whether the fast ways give what the tokenizers library gives."""

@@ -8,10 +8,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import small_batches
+from fathom.llm.common import at_most, small_batches, tidy, written
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of doc_id.
 FIT_ROWS = 40_000
@@ -22,9 +22,15 @@ FOLDS = 5
 #: Pseudo-counts of the Dirichlet prior, spread over tokens as the labelled rows have them.
 PRIOR = 20.0
 
-#: Standard deviations that a token's log-odds must lie from 0 to be scored on its own.
+#: Standard deviations that a token's rates must lie apart for it to be scored on its own.
 SIGNIFICANT = 4.5
 
+#: Log-odds from which a token is scored on its own: a factor of e.
+LEAST_ODDS = 1.0
+
+#: Segments of a text that its evidence is drawn from: the best so many.
+BEST = 50
+
 #: Score of every other token, at most: keeps the expected score negative, as extreme-value theory asks.
 DRIFT = -0.05
 
@@ -36,7 +42,7 @@ STEMS = range(4, 9)
 STEM = "*"
 
 #: Words whose score a worker remembers; the table is emptied when full, which costs time only.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -125,7 +131,7 @@ class Model:
         """-ln of the chance that clean text of n tokens has segments like the r best, for the r that is least likely."""
         normal = sorted((self.rate * s - math.log(self.scale * max(n, 1)) for _, _, s in found), reverse=True)
         best, total = 0.0, 0.0
-        for r, x in enumerate(normal[:200], 1):
+        for r, x in enumerate(normal[:BEST], 1):
             total += x
             if total <= 0:
                 break
@@ -143,13 +149,18 @@ def held_out(key: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """text and toxic of labelled rows that may be learnt from; of a document's repeated labels the largest counts.
+    """text and toxic of labelled documents that may be learnt from, as a table.
 
-    At most ``rows`` label rows are taken, those with the smallest hash, so they may be broadcast.
+    Of a document's repeated labels the largest counts, of its repeated rows the smallest text; a text
+    that several documents hold is one row. At most
+    ``rows`` labels are taken, those with the smallest hashes, so they may be broadcast.
     """
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    known = written(usable.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic")), "toxic-labels")
+    some = at_most(known, "doc_id", rows)
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    one = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return written(one.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-texts")
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,24 +179,60 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
             counts.clear()
     yield out()
+    counts.clear()
+    tidy()
+
+
+def _odds(clean: str, toxic: str, n0: int, n1: int) -> tuple[Column, Column]:
+    """Log-odds with an informative Dirichlet prior, and the signed root of the likelihood ratio against equal rates."""
+    y0, y1 = F.col(clean).cast("double"), F.col(toxic).cast("double")
+    prior = PRIOR * (y0 + y1) / (n0 + n1)
+    odds = F.log((y1 + prior) / (n1 + PRIOR)) - F.log((y0 + prior) / (n0 + PRIOR))
+    part = lambda y, share: F.when(y > 0, y * F.log(y / ((y0 + y1) * share))).otherwise(0.0)
+    ratio = F.greatest(2 * (part(y1, n1 / (n0 + n1)) + part(y0, n0 / (n0 + n1))), F.lit(0.0))
+    return odds, F.sqrt(ratio) * F.signum(odds)
 
 
 def token_scores(train: DataFrame) -> dict[str, float]:
-    """Log-odds with an informative Dirichlet prior of the tokens whose log-odds are significant.
+    """Log-odds with an informative Dirichlet prior of the tokens whose log-odds are significant and large.
 
-    Counts are of documents, over all training rows; only the significant tokens come to the driver,
-    and the training rows bound them.
+    First by the texts that hold a token, over all training rows. Texts that are copied with edits
+    make all their words look so; thus the tokens found are counted again by the distinct contexts
+    (the word with its neighbours) that they stand in. Only those that stay significant come to the
+    driver, and the training rows bound them.
     """
     counts = train.mapInArrow(_token_rows, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = train.agg(F.sum(F.col("toxic")), F.sum(1 - F.col("toxic"))).first()
     n1, n0 = int(sizes[0] or 0), int(sizes[1] or 0)
     if not n1 or not n0:
         return {}
-    share = (F.col("clean") + F.col("toxic")) / F.lit(float(n0 + n1))
-    a1, a0 = F.col("toxic") + PRIOR * share, F.col("clean") + PRIOR * share
-    odds = F.log(a1 / (n1 + PRIOR - a1)) - F.log(a0 / (n0 + PRIOR - a0))
-    z = odds / F.sqrt(1 / a1 + 1 / a0)
-    kept = counts.where("token <> ''").where("clean + toxic < " + str(n0 + n1)).select("token", odds.alias("s"), z.alias("z")).where(F.abs("z") >= SIGNIFICANT)
+    odds, z = _odds("clean", "toxic", n0, n1)
+    found = {r.token for r in counts.where("token <> ''").where((F.abs(z) >= SIGNIFICANT) & (F.abs(odds) >= LEAST_ODDS)).select("token").collect()}
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hits: dict[str, list[str]] = {}
+        for b in batches:
+            seen: set[tuple] = set()
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = ["", *words(text or ""), ""]
+                for i in range(1, len(ws) - 1):
+                    own = hits.get(ws[i])
+                    if own is None:
+                        if len(hits) >= KNOWN_WORDS:
+                            hits.clear()
+                        own = hits[ws[i]] = [t for t in tokens_of(ws[i]) if t in found]
+                    if own:
+                        at = xxhash.xxh3_64_intdigest(" ".join(ws[i - 1 : i + 2])) >> 1
+                        seen.update((t, toxic, at) for t in own)
+            cols = list(zip(*seen, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["token", "toxic", "context"])
+
+    places = train.mapInArrow(contexts, "token string, toxic int, context long").distinct()
+    again = places.groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    odds, z = _odds("clean", "toxic", n0, n1)
+    kept = again.select("token", odds.alias("s"), z.alias("z")).where((F.abs("z") >= SIGNIFICANT) & (F.abs("s") >= LEAST_ODDS))
     return {r.token: float(r.s) for r in kept.collect()}
 
 
@@ -197,20 +244,42 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if not any(s > 0 for s in model.scores.values()):
         return model
 
+    least = min(s for s in model.scores.values() if s > 0)
+
     def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text with segments (its best ones); at the end one for each label with the sums over all its
+        texts: tokens, texts without segments, segments of ``least`` or more, and how often each token score was met."""
+        sums = {0: [0, 0, 0, {}], 1: [0, 0, 0, {}]}
         for b in batches:
-            found = [model.segments(t) for t in b.column(0).to_pylist()]
-            hits = [[s for w in words(x or "") if (s := model.known[w])] if f[1] else [] for x, f in zip(b.column(0).to_pylist(), found, strict=True)]
-            many = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in f] for _, f in found], many), pa.array(hits, many)], ["toxic", "n", "scores", "hits"])
-
-    seen = train.mapInArrow(segment_rows, "toxic int, n long, scores array<double>, hits array<double>").collect()
-    clean = [r for r in seen if not r.toxic]
+            out = []
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n, found = model.segments(text)
+                own = sums[toxic]
+                own[0] += n
+                if not found:
+                    own[1] += 1
+                    continue
+                own[2] += sum(s >= least for *_, s in found)
+                for s in map(model.known.__getitem__, words(text)):
+                    if s:
+                        own[3][s] = own[3].get(s, 0) + 1
+                out.append((toxic, n, None, None, sorted((s for *_, s in found), reverse=True)[:BEST], []))
+            if out:
+                yield batch(out)
+        yield batch([(t, n, none, strong, list(met), [float(c) for c in met.values()]) for t, (n, none, strong, met) in sums.items()])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols, many = list(zip(*rows, strict=True)), pa.list_(pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4]), *(pa.array(c, many) for c in cols[4:])], ["toxic", "n", "none", "strong", "scores", "met"])
+
+    seen = train.mapInArrow(segment_rows, "toxic int, n long, none long, strong long, scores array<double>, met array<double>").collect()
+    sums = [r for r in seen if r.none is not None]
+    clean = [r for r in sums if not r.toxic]
     tokens = max(1, sum(r.n for r in clean))
-    met: dict[float, int] = {}
+    met: dict[float, float] = {}
     for r in clean:
-        for s in r.hits:
-            met[s] = met.get(s, 0) + 1
+        for s, c in zip(r.scores, r.met, strict=True):
+            met[s] = met.get(s, 0) + c
     shares = [((met.get(s, 0) + 0.5) / tokens, s) for s in set(model.scores.values())]
     rest = 1 - sum(p for p, _ in shares)
 
@@ -222,23 +291,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if excess(mid) > 0 else (mid, hi)
     model.rate = max(lo, 1e-3)
-    least = min(s for s in model.scores.values() if s > 0)
-    model.scale = min(1.0, (sum(s >= least for r in clean for s in r.scores) + 0.5) / tokens * math.exp(model.rate * least))
-    calibrate(model, [(model.evidence(r.n, [(0, 0, s) for s in r.scores]), r.toxic) for r in seen])
+    model.scale = min(1.0, (sum(r.strong for r in clean) + 0.5) / tokens * math.exp(model.rate * least))
+    rows = [(model.evidence(r.n, [(0, 0, s) for s in r.scores]), r.toxic, 1) for r in seen if r.none is None]
+    calibrate(model, rows + [(0.0, r.toxic, r.none) for r in sums if r.none])
     return model
 
 
-def calibrate(model: Model, rows: list[tuple[float, int]]) -> None:
-    """Logistic regression of the label on the evidence, by Newton's method with a slight ridge."""
+def calibrate(model: Model, rows: list[tuple[float, int, int]]) -> None:
+    """Logistic regression of the label on the evidence, by Newton's method with a slight ridge. rows: evidence, label, texts."""
     import numpy as np
 
-    x, y = np.array([e for e, _ in rows]), np.array([t for _, t in rows], float)
+    x, y, n = (np.array(c, float) for c in zip(*rows, strict=True))
     unit = max(x.max(), 1e-9) / 10
     a = np.stack([np.minimum(x / unit, 3.0), np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (n * (y - p)) - 1e-3 * w)
         w += np.clip(step, -5, 5)
         if abs(step).max() < 1e-9:
             break
@@ -268,6 +337,7 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
                     told = [{"start": at[a][0], "end": at[z - 1][1], "score": s, "chance": c} for a, z, s, c in told]
                 spans.append(told)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(evidence, pa.float64()), pa.array(scores, pa.float64()), pa.array(spans, span)], ["key", "evidence", "score", "passages"])
+        tidy()
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     out = slim.mapInArrow(rows, f"key {kind}, evidence double, score double, passages array<struct<start:long,end:long,score:double,chance:double>>")
