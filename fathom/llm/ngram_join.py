@@ -495,8 +495,10 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     ordered = written(whole, "ordered")
     parts = ordered.select("set", "n", "grams").mapInArrow(_counting_segments, "set long, n long, fragment long, grams array<long>")
     entries = written(ordered.select("set", "n", "alone", "prefix", "grams").mapInArrow(_prefixes, ENTRY), "prefixes")
-    links, found = None, None
+    links, found, idle = None, None, None
     for k, how in enumerate(ROUNDS):
+        if how == idle:  # nothing has changed since: it would find nothing again
+            continue
         if found is None:
             placed = entries.withColumn("component", F.col("set"))
             sizes = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -510,9 +512,8 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
             placed = placed.join(ordered.select("set", "sketch"), "set")
         lists = _split_lists(placed).repartition("gram").sortWithinPartitions("gram", "n", "set")
         pairs = written(lists.mapInArrow(_candidates(how), "a long, b long").distinct(), "pairs")
-        if not pairs.limit(1).count():
-            if how != "next":
-                break
+        if not pairs.limit(1).count():  # of neighbours only: the last round still looks at all that is left
+            idle = how
             continue
         new = written(linked(pairs, parts), "links")
         links = new if links is None else links.union(new)

@@ -87,6 +87,22 @@ def test_same_result_with_many_fragments(spark, monkeypatch):
     assert found(spark, texts) == want
 
 
+def test_a_star_wider_than_the_nearest_look(spark, monkeypatch):
+    """Copies that link with their base alone: those far from it in every list are left to the last round."""
+    rng = random.Random(6)
+    base = [f"s{k}" for k in range(100)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 81):
+        copy = list(base)
+        for k in (rng.randrange(5, 45), rng.randrange(55, 95)):
+            copy[k] = f"e{i}x{k}"
+        texts.append((i, " ".join(copy)))
+    want = brute(texts)
+    assert {c for _, _, c in want} == {0}
+    monkeypatch.setattr(ngram_join, "NEAR", 1)
+    assert found(spark, texts) == want
+
+
 def test_sets_of_shingles():
     texts = ["A b c D e f", "a B C d E F", " a b ", "", None, "x\x0by\x0cz\rq\tw", "a b c d e f" * 3000, "ÀB"]
     got = list(shingle_sets([None if t is None else t.encode() for t in texts]))
