@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest."""
+"""Substring dedup: content-defined chunks by a gear rolling hash, and windows picked by their least hash, deduplicated by digest."""
 
 from __future__ import annotations
 
@@ -19,9 +19,13 @@ MASK_BITS = 5
 #: Bytes of a chunk: the least, so that common phrases alone make none, and the most.
 LEAST, MOST = 24, 2048
 
-#: Bytes of neighbouring repeated chunks from which a span is reported: a passage of over 50 words has more.
+#: Bytes of neighbouring repeated pieces from which a span is reported: a passage of over 50 words has more.
 SPAN_BYTES = 120
 
+#: Bytes of a picked window (over SPAN_BYTES, also without divided characters at its ends), and the starts of which one at least
+#: is picked: texts that share SHARED + AMONG - 1 = 191 bytes have a window in common, whatever stands around them.
+SHARED, AMONG = 128, 64
+
 
 @lru_cache(1)
 def gear() -> np.ndarray:
@@ -58,8 +62,49 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+@lru_cache(1)
+def _window_bytes() -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(20240102)).integers(0, 1 << 64, 256, np.uint64)
+
+
+def _sliding(least: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """least over each n neighbours of x; as many places fewer."""
+    step = 1
+    while step < n:
+        more = min(step, n - step)
+        x = least(x[:-more], x[more:])
+        step += more
+    return x
+
+
+def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the windows of SHARED bytes whose hash is the least of AMONG neighbours; divided characters at their ends are left out."""
+    if len(data) < SHARED:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, power, step = _window_bytes()[data], 0x9E3779B97F4A7C15, 1
+    while step < SHARED:
+        h = h[:-step] * np.uint64(power) + h[step:]
+        power, step = power * power % (1 << 64), step * 2
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    n = min(AMONG, len(h))
+    low = _sliding(np.minimum, h, n)
+    edge = np.zeros(n - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, low, edge]), n) == h)
+    same = np.concatenate([[False], (np.diff(at) == 1) & (h[at[1:]] == h[at[:-1]])])
+    place = np.arange(len(at))
+    since = place - np.maximum.accumulate(np.where(same, 0, place))
+    at = at[(since % (AMONG // 2) == 0) | ~np.concatenate([same[1:], [False]])]  # of one byte over and over, some and the last
+    follows = np.concatenate([data & 0xC0 == 0x80, [False]])
+    first, end = at.copy(), at + SHARED
+    for _ in range(3):
+        first += follows[first]
+        end -= follows[end]
+    return first, end
+
+
 def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, number (from 0), first (byte), size, and the chunk's 128-bit digest as d1, d2; no shuffle."""
+    """key, number (from 0; -1 for a window), first (byte), size, and the piece's 128-bit digest as d1, d2; no shuffle."""
     small_batches(docs.sparkSession)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
 
@@ -72,10 +117,13 @@ def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             at, number, first, size, digests = [], [], [], [], []
             for k, data in enumerate(texts):
                 if data:
-                    ends = cuts(np.frombuffer(data, np.uint8))
-                    begin = np.concatenate([[0], ends[:-1]])
+                    raw = np.frombuffer(data, np.uint8)
+                    ends = cuts(raw)
+                    more, more_ends = windows(raw)
+                    number += [np.arange(len(ends)), np.full(len(more), -1)]
+                    begin = np.concatenate([[0], ends[:-1], more])
+                    ends = np.concatenate([ends, more_ends])
                     at.append(np.full(len(ends), k))
-                    number.append(np.arange(len(ends)))
                     first.append(begin)
                     size.append(ends - begin)
                     digests += [digest(data[i:j]) for i, j in zip(begin.tolist(), ends.tolist(), strict=True)]
@@ -92,23 +140,27 @@ def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_bytes: int = SPAN_BYTES, within: bool = False) -> DataFrame:
     """A row for each repeated span: key, start and end (bytes of the UTF-8 text), n_chunks, first_key, kept, cuts.
 
-    A chunk repeats if texts of two keys or more hold it; ``within`` also counts repeats inside a text.
-    Neighbouring repeated chunks make a span; spans of at least span_bytes count. Each chunk stays in
-    the text with the smallest key that holds it; first_key is the smallest of those keys in the span,
-    cuts the (first, size) of the chunks that stay elsewhere, and kept says that there are none.
+    A piece (chunk or window) repeats if texts of two keys or more hold it; ``within`` also counts repeats
+    inside a text. Repeated pieces that touch or overlap make a span of n_chunks chunks (none, if windows alone
+    show it); spans of at least span_bytes count. Each piece stays in the text with the smallest key that
+    holds it; first_key is the smallest of those keys in the span, cuts the (first, size) of the pieces
+    that stay elsewhere (they may overlap), and kept says that there are none.
     Digests are counted before the shuffle, so a chunk that a third of the texts hold is one row a
     task. Null and empty texts have no chunk; rows without a key take no part; rows that repeat a key
     and its text share their spans. Other columns are not read.
     """
-    chunks = written(chunk_rows(docs.where(F.col(key).isNotNull()), key, text), "chunks")
+    chunks = chunk_rows(docs.where(F.col(key).isNotNull()), key, text)  # worked out twice: written, they take more disk than the texts
     held = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
     twice = written(held.where("copies > 1" if within else "first_key <> last_key").select("d1", "d2", "first_key"), "repeated")
     hits = chunks.join(twice, ["d1", "d2"]).select("key", "number", "first", "size", "first_key").distinct()
-    order = Window.partitionBy("key").orderBy("number")
-    runs = hits.withColumn("run", F.col("number") - F.row_number().over(order))
+    end = F.col("first") + F.col("size")
+    order = Window.partitionBy("key").orderBy("first", "size", "number", "first_key")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    apart = hits.withColumn("apart", F.coalesce(F.col("first") > F.max(end).over(before), F.lit(True)).cast("long"))
+    runs = apart.withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chunk = F.struct("first", "size")
     spans = runs.groupBy("key", "run").agg(
-        F.min("first").alias("start"), F.max(F.col("first") + F.col("size")).alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("first_key").alias("first_key"),
+        F.min("first").alias("start"), F.max(end).alias("end"), F.count(F.when(F.col("number") >= 0, 1)).alias("n_chunks"), F.min("first_key").alias("first_key"),
         F.array_sort(F.collect_list(F.when(F.col("first_key") != F.col("key"), chunk))).alias("cuts"),
     )
     long = spans.where(F.col("end") - F.col("start") >= span_bytes)
@@ -132,7 +184,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span_b
             raw, at, out = data.encode(), 0, []
             for c in cut:
                 out.append(raw[at : c["first"]])
-                at = c["first"] + c["size"]
+                at = max(at, c["first"] + c["size"])
             return b"".join([*out, raw[at:]]).decode()
 
         import pandas as pd

@@ -45,6 +45,23 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert {r.first_key for r in out} == {100 + i for i in range(6)}
 
 
+def test_short_passages_are_all_found(spark):
+    """Each passage of 51 to 60 words stands in two texts between different neighbours; not one may be missed."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(3, 7)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    texts, want = [], []
+    for i in range(600):
+        passage = some(51 + i % 10)
+        for k in (2 * i, 2 * i + 1):
+            left = some(rng.randint(5, 40)) + " "
+            texts.append((k, left + passage + " " + some(rng.randint(5, 40))))
+            want.append((k, len(left.encode()), len((left + passage).encode())))
+    spans = {r.doc_id: r for r in repeated_spans(table(spark, texts)).collect()}
+    assert [k for k, first, end in want if k not in spans or spans[k].start >= end or spans[k].end <= first] == []
+    assert all(r.first_key == r.doc_id // 2 * 2 and r.kept == (r.doc_id % 2 == 0) for r in spans.values())
+
+
 def test_edge_cases(spark):
     out = repeated_spans(table(spark, TEXTS)).collect()
     assert {r.doc_id for r in out} == {7, 8}
