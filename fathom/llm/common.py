@@ -81,6 +81,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of a bucket of gapless ranks, about, at least.
+BUCKET_ROWS = 250
+
 #: md5 as a number of 60 bits: the same in every engine that has md5.
 HASH_BITS = 60
 
@@ -89,17 +92,19 @@ def md5_60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def gapless_rank(df: DataFrame, group: str, sizes: dict, spread: str, order: Sequence[str], rank: str, per_bucket: int = 10_000) -> DataFrame:
+def gapless_rank(df: DataFrame, group: str, sizes: dict, spread: str, order: Sequence[str], rank: str, per_bucket: int | None = None) -> DataFrame:
     """df with a column ``rank``: 0, 1, ... in each group without gaps, by ``spread`` and then ``order``.
 
     ``spread`` is a hash of 60 bits over the whole row, ``sizes`` the rows of each group (a few, known
-    groups). The hash's top bits cut each group into buckets, as many as its size asks for, so no task
+    groups). The hash's top bits cut each group into buckets of about ``per_bucket`` rows, so no task
     holds a large group whole: ranks within a bucket come from a window, the buckets' starts from a
-    running sum over bucket counts. Rows that are equal in every column are first counted, then spread
+    running sum over bucket counts. By default a group has about as many buckets as a bucket has rows,
+    the square root of its size, but none of under BUCKET_ROWS. Rows that are equal in every column are first counted, then spread
     out again, so that they can't fill a bucket either.
     """
     n, bucket, start = fresh(df, "n_equal"), fresh(df, "bucket"), fresh(df, "start")
-    bits = {k: b for k, v in sizes.items() if (b := math.ceil(math.log2(max(1, v) / per_bucket) if v > per_bucket else 0))}
+    rows = lambda v: per_bucket or max(BUCKET_ROWS, math.sqrt(v))
+    bits = {k: b for k, v in sizes.items() if (b := math.ceil(math.log2(v / rows(v)) if v > rows(v) else 0))}
     shift = F.lit(HASH_BITS)
     if bits:
         by_group = F.create_map(*[x for k, b in bits.items() for x in (F.lit(k), F.lit(HASH_BITS - b))])

@@ -20,58 +20,69 @@ WIDTH = 1024
 END_ID = 0
 
 
-def pack_histogram(counts: dict[int, int], width: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, how many sequences have them) for counts pieces of each length.
+#: A pattern: runs of (length, how many in a row), and how many sequences have it.
+Pattern = tuple[tuple[tuple[int, int], ...], int]
 
-    Lengths are placed longest first, each into the pack with the least room that it still fits
-    (the shortest pack that ends fullest); what finds no pack opens one. Equal packs are one pattern with a count, so the work
-    follows the number of lengths, never the number of pieces.
+
+def pack_histogram(counts: dict[int, int], width: int) -> list[Pattern]:
+    """Patterns for counts pieces of each length, by shortest pack first.
+
+    Lengths are placed longest first, each piece into the shortest pack, the one with the most room;
+    if it doesn't fit there, it fits nowhere and opens a pack. Packs of equal room take pieces
+    together and equal packs are one pattern with a count, so the work follows the number of
+    lengths, never the number of pieces.
     """
-    open_packs: dict[int, list[list]] = defaultdict(list)  # room left: [lengths, count]
-    done: list[tuple[tuple[int, ...], int]] = []
+    open_packs: dict[int, list[Pattern]] = defaultdict(list)  # by room left
+    done: list[Pattern] = []
 
-    def put(lengths: tuple[int, ...], room: int, n: int) -> None:
+    def put(runs: tuple[tuple[int, int], ...], room: int, n: int) -> None:
         if room:
-            open_packs[room].append([lengths, n])
+            open_packs[room].append((runs, n))
         else:
-            done.append((lengths, n))
+            done.append((runs, n))
 
     for length in sorted(counts, reverse=True):
         left = counts[length]
         if not 0 < length <= width or left < 0:
             raise ValueError(f"{left} pieces of length {length} don't go into {width}")
-        for room in range(length, width):
-            while left and open_packs[room]:
-                pack = open_packs[room].pop()
-                times = min(left // pack[1], room // length) if left >= pack[1] else 0
-                if times:  # the whole count of packs takes this length, as often as there is room and supply
-                    left -= times * pack[1]
-                    put((*pack[0], *[length] * times), room - times * length, pack[1])
-                else:
-                    if pack[1] > left:
-                        open_packs[room].append([pack[0], pack[1] - left])
-                    put((*pack[0], length), room - length, left)
-                    left = 0
+        for room in range(width - 1, length - 1, -1):  # packs that take a piece come up again with less room
             if not left:
                 break
-        if left:
+            if not open_packs[room]:
+                continue
+            packs, open_packs[room] = open_packs[room], []
+            below = next((r for r in range(room - 1, length - 1, -1) if open_packs[r]), 0)
+            every = sum(n for _, n in packs)
+            times = min(left // every, -(-(room - below) // length), room // length)
+            for runs, n in packs:  # all of them are the shortest, until they have grown past the next ones
+                if times:
+                    left -= times * n
+                    put((*runs, (length, times)), room - times * length, n)
+                else:
+                    some = min(left, n)
+                    left -= some
+                    if some:
+                        put((*runs, (length, 1)), room - length, some)
+                    if n > some:
+                        put(runs, room, n - some)
+        if left:  # a new pack is the shortest, until it is full
             each = width // length
             if left // each:
-                put((length,) * each, width - each * length, left // each)
+                put(((length, each),), width - each * length, left // each)
             if left % each:
-                put((length,) * (left % each), width - left % each * length, 1)
-    return done + [(p, n) for packs in open_packs.values() for p, n in packs]
+                put(((length, left % each),), width - left % each * length, 1)
+    return done + [p for packs in open_packs.values() for p in packs]
 
 
-def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks after the last, first sequence, offset): which ranks of a length lie where."""
+def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, pieces in a row, first sequence, offset): which ranks of a length lie where."""
     out, taken, base = [], defaultdict(int), 0
-    for lengths, n in patterns:
+    for runs, n in patterns:
         offset = 0
-        for length in lengths:
-            out.append((length, taken[length], taken[length] + n, base, offset))
-            taken[length] += n
-            offset += length
+        for length, times in runs:
+            out.append((length, taken[length], taken[length] + n * times, times, base, offset))
+            taken[length] += n * times
+            offset += length * times
         base += n
     return out
 
@@ -103,6 +114,9 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str =
 def pack(cut: DataFrame, length: str = "length", width: int = WIDTH) -> DataFrame:
     """cut (a table, read more than once) with sequence_id and offset.
 
+    Rows that repeat are pieces each; nulls in other columns and an empty table need nothing special;
+    a length that is null, under 1 or over width is an error. Older columns of the two names must not exist.
+
     Only the histogram (width rows at most) comes to the driver, and only the pattern slots (bounded
     by the lengths, not the pieces) are broadcast. Pieces meet their slots by rank among the pieces
     of their length.
@@ -112,11 +126,12 @@ def pack(cut: DataFrame, length: str = "length", width: int = WIDTH) -> DataFram
     spread, rank = fresh(cut, "spread"), fresh(cut, "rank")
     hashed = cut.withColumn(spread, F.shiftrightunsigned(F.xxhash64(*cut.columns), 4))
     ranked = gapless_rank(hashed, length, counts, spread, [c for c in cut.columns if c != length], rank)
-    names = [fresh(cut, x) for x in ("slot_length", "first_rank", "end_rank", "first_sequence", "slot_offset")]
+    names = [fresh(cut, x) for x in ("slot_length", "first_rank", "end_rank", "slot_times", "first_sequence", "slot_offset")]
     where = spark.createDataFrame(slots(pack_histogram(counts, width)), ", ".join(f"{x} long" for x in names))
-    a, lo, hi, base, offset = map(F.col, names)
+    a, lo, hi, times, base, offset = map(F.col, names)
     joined = ranked.join(F.broadcast(where), (F.col(length) == a) & (F.col(rank) >= lo) & (F.col(rank) < hi))
-    return joined.select(*cut.columns, (base + F.col(rank) - lo).alias("sequence_id"), offset.alias("offset"))
+    sequence = base + F.floor((F.col(rank) - lo) / times)
+    return joined.select(*cut.columns, sequence.cast("long").alias("sequence_id"), (offset + (F.col(rank) - lo) % times * F.col(length)).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", width: int = WIDTH) -> DataFrame:
@@ -127,5 +142,3 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", nam
     Columns other than key and text are not read.
     """
     return pack(written(pieces(docs, key, text, name, width), "pieces"), width=width)
-
-

@@ -64,24 +64,43 @@ def test_very_long_runs(library):
         assert v.ids(text).tolist() == want and v.count(text) == len(want)
 
 
+def one_at_a_time(counts, width):
+    """Rooms of the packs when each piece, longest first, goes into the pack with the most room."""
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            most = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if most is None or rooms[most] < length:
+                rooms.append(width)
+                most = len(rooms) - 1
+            rooms[most] -= length
+    return sorted(rooms)
+
+
+@settings(max_examples=300, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(0, 50), max_size=12))
 def test_histogram_packing(counts):
     patterns = pack_histogram(counts, 40)
     placed = defaultdict(int)
-    for lengths, n in patterns:
-        assert 0 < sum(lengths) <= 40 and n > 0
-        for x in lengths:
-            placed[x] += n
+    for runs, n in patterns:
+        assert 0 < sum(x * t for x, t in runs) <= 40 and n > 0
+        for x, t in runs:
+            placed[x] += n * t
     assert placed == {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    assert sum(n for _, n in patterns) <= max(1, 2 * -(-total // 40))
+    assert sorted(40 - sum(x * t for x, t in runs) for runs, n in patterns for _ in range(n)) == one_at_a_time(counts, 40)
     by = defaultdict(list)
-    for length, a, b, _, _ in slots(patterns):
+    for length, a, b, *_ in slots(patterns):
         by[length].append((a, b))
     for length, spans in by.items():
         assert sorted(spans)[0][0] == 0 and all(x[1] == y[0] for x, y in zip(sorted(spans), sorted(spans)[1:], strict=False)) and sorted(spans)[-1][1] == counts[length]
 
 
+def test_the_shortest_pack_comes_first():
+    assert sorted(pack_histogram({900: 1, 700: 1, 100: 1}, 1024)) == [(((700, 1), (100, 1)), 1), (((900, 1),), 1)]
+    assert pack_histogram({}, 1024) == []
+    assert sum(n for _, n in pack_histogram({x: 10**12 for x in range(1, 1025)}, 1024)) < 1.02 * 10**12 * 1025 / 2
+
+
 def check_packing(out, texts, library):
     want = {}
     for i, t in texts:
