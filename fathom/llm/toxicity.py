@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,6 @@ SIGNIFICANT = 4.5
 #: Log-odds from which a token is scored on its own: a factor of e.
 LEAST_ODDS = 1.0
 
-#: Segments of a text that its evidence is drawn from: the best so many.
-BEST = 50
-
 #: Score of every other token, at most: keeps the expected score negative, as extreme-value theory asks.
 DRIFT = -0.05
 
@@ -103,6 +101,11 @@ def maximal_segments(scores: Sequence[tuple[int, float]], drift: float) -> list[
     return [(a, b, hi - lo) for (a, b), lo, hi in zip(ends, left, right, strict=True)]
 
 
+def log_factorials(n: int) -> np.ndarray:
+    """ln of 0!, 1!, ... n!."""
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
 @dataclass
 class Model:
     """Token scores, the extreme-value parameters of their segments in clean text, and the final calibration."""
@@ -127,16 +130,17 @@ class Model:
         """Expected segments of at least this score in n clean tokens."""
         return self.scale * max(n, 1) * math.exp(-self.rate * score)
 
-    def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
-        """-ln of the chance that clean text of n tokens has segments like the r best, for the r that is least likely."""
-        normal = sorted((self.rate * s - math.log(self.scale * max(n, 1)) for _, _, s in found), reverse=True)
-        best, total = 0.0, 0.0
-        for r, x in enumerate(normal[:BEST], 1):
-            total += x
-            if total <= 0:
-                break
-            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
-        return best
+    def evidence(self, n: int, found: Sequence[tuple[int, int, float]]) -> float:
+        """-ln of the chance that clean text of n tokens has segments like the r best, for the r of all segments that is least likely."""
+        if not found:
+            return 0.0
+        normal = self.rate * np.sort([s for *_, s in found])[::-1] - math.log(self.scale * max(n, 1))
+        totals = np.cumsum(normal)
+        totals = totals[np.logical_and.accumulate(totals > 0)]
+        if not len(totals):
+            return 0.0
+        factorials = log_factorials(len(totals))
+        return max(0.0, float(np.max(totals - np.arange(len(totals)) * np.log(totals) + factorials[1:] + factorials[:-1])))
 
     def score(self, evidence: float) -> float:
         z = self.slope * evidence + self.offset
@@ -247,8 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     least = min(s for s in model.scores.values() if s > 0)
 
     def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text with segments (its best ones); at the end one for each label with the sums over all its
-        texts: tokens, texts without segments, segments of ``least`` or more, and how often each token score was met."""
+        """A row for each text with segments; at the end one for each label with the sums over all its texts: tokens,
+        texts without segments, segments of ``least`` or more, and how often each token score was met."""
         sums = {0: [0, 0, 0, {}], 1: [0, 0, 0, {}]}
         for b in batches:
             out = []
@@ -263,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 for s in map(model.known.__getitem__, words(text)):
                     if s:
                         own[3][s] = own[3].get(s, 0) + 1
-                out.append((toxic, n, None, None, sorted((s for *_, s in found), reverse=True)[:BEST], []))
+                out.append((toxic, n, None, None, [s for *_, s in found], []))
             if out:
                 yield batch(out)
         yield batch([(t, n, none, strong, list(met), [float(c) for c in met.values()]) for t, (n, none, strong, met) in sums.items()])
@@ -272,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         cols, many = list(zip(*rows, strict=True)), pa.list_(pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4]), *(pa.array(c, many) for c in cols[4:])], ["toxic", "n", "none", "strong", "scores", "met"])
 
-    seen = train.mapInArrow(segment_rows, "toxic int, n long, none long, strong long, scores array<double>, met array<double>").collect()
-    sums = [r for r in seen if r.none is not None]
+    seen = written(train.mapInArrow(segment_rows, "toxic int, n long, none long, strong long, scores array<double>, met array<double>"), "toxic-segments")
+    sums = seen.where("none is not null").collect()  # two rows a task of the training texts
     clean = [r for r in sums if not r.toxic]
     tokens = max(1, sum(r.n for r in clean))
     met: dict[float, float] = {}
@@ -292,15 +296,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         lo, hi = (lo, mid) if excess(mid) > 0 else (mid, hi)
     model.rate = max(lo, 1e-3)
     model.scale = min(1.0, (sum(r.strong for r in clean) + 0.5) / tokens * math.exp(model.rate * least))
-    rows = [(model.evidence(r.n, [(0, 0, s) for s in r.scores]), r.toxic, 1) for r in seen if r.none is None]
-    calibrate(model, rows + [(0.0, r.toxic, r.none) for r in sums if r.none])
+
+    def evidence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [model.evidence(n, [(0, 0, s) for s in scores]) for n, scores in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["toxic", "evidence"])
+
+    rows = seen.where("none is null").select("toxic", "n", "scores").mapInArrow(evidence_rows, "toxic int, evidence double").collect()  # a number for each training text
+    calibrate(model, [(r.evidence, r.toxic, 1) for r in rows] + [(0.0, r.toxic, r.none) for r in sums if r.none])
     return model
 
 
 def calibrate(model: Model, rows: list[tuple[float, int, int]]) -> None:
     """Logistic regression of the label on the evidence, by Newton's method with a slight ridge. rows: evidence, label, texts."""
-    import numpy as np
-
     x, y, n = (np.array(c, float) for c in zip(*rows, strict=True))
     unit = max(x.max(), 1e-9) / 10
     a = np.stack([np.minimum(x / unit, 3.0), np.ones_like(x)], 1)
@@ -345,7 +353,11 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns; no shuffle."""
+    """The rows of docs that are not predicted toxic, with all their columns; no shuffle.
+
+    A null or empty text has no passage, so it stays unless the model takes every text for toxic; repeated
+    rows are judged each; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")

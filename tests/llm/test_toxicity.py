@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -80,3 +81,43 @@ def test_labels_of_the_fold_teach_nothing(spark, corpus):
 
     flipped = labels.withColumn("toxic", F.when(F.col("doc_id").isin(held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert fit(docs, labels) == fit(docs, flipped)
+
+
+def slow_evidence(model, n, scores):
+    """The sum statistics one r after the other."""
+    best, total = 0.0, 0.0
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
+        total += model.rate * s - math.log(model.scale * max(n, 1))
+        if total <= 0:
+            break
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+    return best
+
+
+@given(st.lists(st.floats(0.01, 9), max_size=300), st.integers(0, 3000), st.floats(0.1, 3), st.floats(1e-4, 1))
+def test_evidence_counts_every_segment(scores, n, rate, scale):
+    model = Model({"a": 1.0}, rate=rate, scale=scale)
+    got, want = model.evidence(n, [(0, 0, s) for s in scores]), slow_evidence(model, n, scores)
+    assert math.isclose(got, want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_long_texts_are_scored_whole():
+    """Of texts of one length, more passages are more evidence, however many there are."""
+    model = Model({"vile": 9.0}, rate=1.0, scale=0.05, slope=1.0, offset=-3.0)
+    text = lambda n: " ".join(["vile", *["calm"] * 200] * n + ["calm"] * 201 * (200 - n))
+    some = [model.segments(text(n)) for n in (50, 51, 200)]
+    assert [(n, len(found)) for n, found in some] == [(201 * 200, k) for k in (50, 51, 200)]
+    a, b, c = (model.evidence(100, found) for _, found in some)
+    assert a < b < c
+
+
+def test_extreme_value_rate_solves_its_equation(corpus):
+    """Over the clean texts that may be learnt from, the mean of exp(rate * score) is 1, the drift counted for all other tokens."""
+    docs, labels, truth = corpus
+    model = fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    clean = [w for i, t in texts.items() if not truth[i] and zlib.crc32(str(i).encode()) % 5 for w in texts[i].split()]
+    scores = [model.known[w] for w in clean]
+    mean = sum(math.exp(model.rate * (s or model.drift)) for s in scores) / len(scores)
+    assert abs(mean - 1) < 0.02 or not any(scores)
+    assert all(s > 0 for t, s in model.scores.items() if t in ("vilething", "vileness", "nastily", "vile*"))
