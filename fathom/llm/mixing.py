@@ -3,8 +3,10 @@ projected gradients find document rates whose expected tokens by domain meet the
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import HASH_BITS, at_most, fresh, md5_60, small_batches, tidy, written
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of the key.
-FIT_ROWS = 6_000
+FIT_ROWS = 10_000
 
 #: Counted features: words by hash, and bytes.
 WORD_BUCKETS = 2048
@@ -23,12 +25,14 @@ FEATURES = WORD_BUCKETS + 256 + 3
 #: Steps of the classifier's fit, and its pull of weights (of features in units of their spread) to 0.
 STEPS, PULL = 200, np.float32(2e-3)
 
-#: Pull of every rate to 1, against the squared miss of the targets (in shares of all tokens).
-RIDGE = 0.01
-
-#: Rounds of projected gradients, at most, and the change of the misses at which they end.
+#: Rounds of projected gradients, at most, and the change of the misses (in shares of a domain's tokens) at which they end.
 ROUNDS, SETTLED = 60, 1e-5
 
+#: Miss of a target, in its own share, that is logged as a warning.
+FAR_OFF = 0.01
+
+log = logging.getLogger(__name__)
+
 #: Words whose bucket a worker remembers; the table is emptied when full, which costs time only.
 KNOWN_WORDS = 100_000
 
@@ -99,19 +103,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t)[1].tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["domain", "x"])
-
-    seen = train.mapInArrow(vectors, "domain int, x binary").collect()
-    y = np.array([r.domain for r in seen], np.int64)
-    x = np.empty((len(seen), FEATURES), np.float32)
-    for k in range(len(seen)):  # the rows go as the table grows: the driver holds the vectors about once
-        x[k] = np.frombuffer(seen[k].x, np.float32)
-        seen[k] = None
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t)[1].astype(np.float16).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["domain", "x"])
+
+    seen = written(train.mapInArrow(vectors, "domain int, x binary"), "domain-vectors")
+    y, x = np.empty(n := seen.count(), np.int64), np.empty((n, FEATURES), np.float32)
+    for k, r in enumerate(seen.toLocalIterator()):  # by partitions, so the driver holds the vectors once
+        y[k], x[k] = r.domain, np.frombuffer(r.x, np.float16)
     counts = np.bincount(y, minlength=len(domains))
     weights = np.zeros((FEATURES, len(domains)))
     if len(y):
         truth = np.eye(len(domains), dtype=np.float32)[y]
-        spread = x.std(0) + 0.02 * x.std(0).max()
+        deviation = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / n - x.mean(0) ** 2, 0))  # without a copy of x
+        spread = deviation + 0.02 * deviation.max()
         spread[-1] = 1
         x /= spread  # in place: x is the one large array here
         mask, look = np.where(counts > 0, 0.0, -np.inf).astype(np.float32), weights.astype(np.float32)
@@ -143,21 +146,27 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
 
 @dataclass
 class Rates:
-    """The rule that gives a document its rate: projected gradients replayed from the misses of each round."""
+    """The rule that gives a document its rate: projected gradients replayed from the misses of each round.
 
-    misses: list[np.ndarray]
-    step: float
-    ridge: float
-    low: float
-    high: float
+    have, target and reached: expected tokens by domain at rate 1, as asked for, and as the rates give them.
+    """
+
+    have: np.ndarray
+    target: np.ndarray
+    ridge: float = 0.0
+    low: float = 0.0
+    high: float = math.inf
+    misses: list[np.ndarray] = field(default_factory=list)
+    pushes: list[float] = field(default_factory=list)  # how far each round looks ahead
+    reached: np.ndarray | None = None
 
     def run(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """p: [documents, domains]. Nesterov's iteration: the rates, and where the next round's misses are taken.
+        """p: [documents, domains]. The rates, and where the next round's misses are taken.
         Each round's miss by domain is all that documents share."""
         rate = look = np.clip(np.ones(len(p)), self.low, self.high)
-        for k, miss in enumerate(self.misses):
-            new = np.clip(look - self.step * (p @ miss + self.ridge * (look - 1)), self.low, self.high)
-            look, rate = new + k / (k + 3) * (new - rate), new
+        for miss, push in zip(self.misses, self.pushes, strict=True):
+            new = np.clip(look - (p @ miss + self.ridge * (look - 1)) / (1 + self.ridge), self.low, self.high)
+            look, rate = new + push * (new - rate), new
         return rate, look
 
     def of(self, p: np.ndarray) -> np.ndarray:
@@ -166,6 +175,9 @@ class Rates:
     def ahead(self, p: np.ndarray) -> np.ndarray:
         return self.run(p)[1]
 
+    def report(self, domains: Sequence[str]) -> str:
+        return "; ".join(f"{d}: {h:.0f} tokens, target {t:.0f}, reached {r:.0f}" for d, h, t, r in zip(domains, self.have, self.target, self.reached, strict=True))
+
 
 def _totals(members: DataFrame, weigh: Callable[[np.ndarray], np.ndarray], domains: int) -> np.ndarray:
     """Sum over documents of weigh(p) * tokens * p, a number for each domain: one small row a task."""
@@ -181,30 +193,44 @@ def _totals(members: DataFrame, weigh: Callable[[np.ndarray], np.ndarray], domai
     return np.array([x or 0.0 for x in out.agg(*[F.sum(c).alias(c) for c in out.columns]).first()], float)
 
 
-def fit_rates(members: DataFrame, weights: Sequence[float], low: float = 0.0, high: float = 4.0, keep_all: bool = False, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[Rates, np.ndarray, np.ndarray]:
-    """Rates in [low, high] for a table of posteriors; also the expected tokens by domain that they give, and the targets.
+def fit_rates(members: DataFrame, weights: Sequence[float], low: float = 0.0, high: float = math.inf, keep_all: bool = False, ridge: float = 0.0, rounds: int = ROUNDS) -> Rates:
+    """Nonnegative rates (in [low, high]) for a table of posteriors.
 
     The targets are ``weights`` (by domain; those without any token are shared out over the others)
     of all tokens. keep_all raises the total until no domain needs a mean rate under 1. Minimised is
-    the squared miss of the targets plus ``ridge`` times the spread of the rates, both in shares of
-    all tokens; every round is one distributed sum of as many numbers as there are domains.
+    the squared miss of the targets, each in shares of what its domain has, so that a rare domain's
+    counts as much as a common one's and a step of 1 is right whatever the shares; rates start at 1,
+    and ``ridge`` pulls them back there. Every round is one distributed sum of as many numbers as there
+    are domains; momentum starts anew when the misses grow. What limits leave unmet is in ``reached``.
     """
     k = len(weights)
     have = _totals(members, lambda p: np.ones(len(p)), k)
     total = have.sum()
     if not total:
-        return Rates([], 0.0, ridge, low, high), have, have
-    share = np.where(have > 1e-9 * total, np.asarray(weights, float), 0.0)
+        return Rates(have, have, ridge, low, high, reached=have)
+    there = have > 1e-9 * total
+    share = np.where(there, np.asarray(weights, float), 0.0)
     share = share / share.sum() if share.sum() else have / total
     target = share * (max((have / total)[share > 0] / share[share > 0]) if keep_all else 1.0) * total
-    rule = Rates([], 1 / (1 + ridge), ridge, low, high)
+    rule, steps, before = Rates(have, target, ridge, low, high), 0, math.inf
     for _ in range(rounds):
-        now = Rates(list(rule.misses), rule.step, ridge, low, high)
-        miss = (_totals(members, now.ahead, k) - target) / total
+        now = replace(rule, misses=list(rule.misses), pushes=list(rule.pushes))
+        miss = np.where(there, (_totals(members, now.ahead, k) - target) / np.where(there, have, 1.0), 0.0)
         if rule.misses and abs(miss - rule.misses[-1]).max() < SETTLED:
             break
+        off = float((miss * miss) @ have) / total
+        steps = steps + 1 if off <= before else 0
+        before = off
         rule.misses.append(miss)
-    return rule, _totals(members, rule.of, k), target
+        rule.pushes.append(steps / (steps + 3))
+    rule.reached = _totals(members, rule.of, k)
+    return rule
+
+
+def _told(rule: Rates, domains: Sequence[str]) -> Rates:
+    off = np.abs(rule.reached - rule.target) > FAR_OFF * np.maximum(rule.target, FAR_OFF * rule.target.sum())
+    log.log(logging.WARNING if off.any() else logging.INFO, "mixture: %s", rule.report(domains))
+    return rule
 
 
 def with_rates(members: DataFrame, rule: Rates, rate: str = "rate") -> DataFrame:
@@ -228,20 +254,22 @@ def mix(docs: DataFrame, labels: DataFrame, domains: dict[str, str], weights: Se
 
     Null and empty texts have no tokens and the posterior of the classifier for them; without any
     usable label, all domains are equally likely. Repeated rows are documents each. An empty table
-    gives an empty one. Of docs only key and text are read.
+    gives an empty one. Of docs only key and text are read. What each domain had, should have and has
+    got is logged, as a warning where a limit leaves a target unmet.
     """
     members = written(posteriors(docs, fit_classifier(docs, labels, domains, key, text), key, text), "posteriors")
-    rule, _, _ = fit_rates(members, weights, **limits)
+    rule = _told(fit_rates(members, weights, **limits), domains)
     return with_rates(members, rule).withColumn("copies", copies(F.col("rate"), F.col(key)))
 
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, domains: dict[str, str], weights: Sequence[float], key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """The rows of docs as often as the mixture takes them, with all their columns.
 
-    Posteriors are worked out anew from each text, so no text is moved.
+    Posteriors are worked out anew from each text, so no text is moved. Null and empty texts, repeated
+    rows, rows without a key (all draw alike) and empty tables are as in mix().
     """
     model = fit_classifier(docs, labels, domains, key, text)
-    rule, _, _ = fit_rates(written(posteriors(docs, model, key, text), "posteriors"), weights, **limits)
+    rule = _told(fit_rates(written(posteriors(docs, model, key, text), "posteriors"), weights, **limits), domains)
     rate, again = fresh(docs, "rate"), fresh(docs, "again")
 
     @F.pandas_udf("double")
