@@ -5,14 +5,15 @@ from __future__ import annotations
 import ctypes
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Only for a session without spark.checkpoint.dir, as in tests.
-DEFAULT_SHARED = "/tmp/checkpoints"
+#: Only for a local session without spark.checkpoint.dir, as in tests: there the driver and its workers share it.
+LOCAL_SHARED = "/tmp/checkpoints"
 
 #: Rows of an Arrow batch that goes to Python: texts may be long, so few.
 BATCH_ROWS = 256
@@ -23,19 +24,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that the driver and all executors see: spark.checkpoint.dir, which a cluster must name."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds the rows of Arrow batches while it is open; the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if 0 < int(own) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,13 +78,6 @@ def at_most(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.shiftrightunsigned(F.xxhash64(key), 1) < F.lit(int(share * (1 << 63))))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of texts, unless the session already has a lower bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def tidy() -> None:
     """Gives a worker's freed memory back at the end of a partition: workers live on, and what one stage held isn't the next one's."""
     pa.default_memory_pool().release_unused()

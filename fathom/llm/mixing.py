@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import HASH_BITS, at_most, fresh, md5_60, small_batches, tidy, written
+from fathom.llm.common import HASH_BITS, at_most, fresh, md5_60, tidy, written
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of the key.
 FIT_ROWS = 10_000
@@ -95,7 +95,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
     rows the smallest text. At most ``rows`` labels are taken, those with the smallest hashes, so they
     may be broadcast, and the driver gets no more than as many feature vectors.
     """
-    small_batches(docs.sparkSession)
     domain = F.coalesce(*[F.when(F.expr(c), k) for k, c in enumerate(domains.values())])
     known = labels.select(F.col(key), domain.alias("domain")).where(F.col(key).isNotNull() & F.col("domain").isNotNull()).groupBy(key).agg(F.min("domain").alias("domain"))
     some = at_most(written(known, "domain-labels"), key, rows)
@@ -130,7 +129,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
 
 def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, tokens, posterior (one share for each domain); no shuffle."""
-    small_batches(docs.sparkSession)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

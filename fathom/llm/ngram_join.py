@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import small_batches, tidy, written
+from fathom.llm.common import tidy, written
 
 #: Words of an n-gram, and the similarity of a link as a fraction: contract values.
 WORDS = 5
@@ -470,7 +470,6 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
        by fragment. Sets already in one component aren't compared, so copies don't make all pairs.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     grams = (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / 5
     bits = _fragment_bits(grams * FIRST_PARTS / 16)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, gapless_rank, small_batches, tidy, written
+from fathom.llm.common import fresh, gapless_rank, tidy, written
 from fathom.llm.token_counts import vocabulary
 
 #: Tokens of a sequence.
@@ -89,7 +89,6 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", width: int = WIDTH) -> DataFrame:
     """Per piece of a document's ids (with END_ID at the end): key, start, length, ids_crc32, doc_tokens; no shuffle."""
-    small_batches(docs.sparkSession)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

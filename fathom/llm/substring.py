@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, small_batches, tidy, written
+from fathom.llm.common import fresh, tidy, written
 
 #: A chunk ends where the rolling hash of the last WINDOW bytes has its MASK_BITS top bits 0: every 2**MASK_BITS bytes on average.
 WINDOW = 32
@@ -105,7 +105,6 @@ def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, number (from 0; -1 for a window), first (byte), size, and the piece's 128-bit digest as d1, d2; no shuffle."""
-    small_batches(docs.sparkSession)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import small_batches
 
 #: Tokens over which a document is marked.
 LIMIT = 1024
@@ -67,15 +66,24 @@ class Vocabulary:
             return self.merge.encode_to_numpy(text, allowed_special="all")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def whole_tokens(self) -> dict[str, int]:
-        """The vocabulary's strings that alone are one pre-token and one token: proved by encoding each, once a process."""
+    @cached_property
+    def whole_tokens(self) -> list[str]:
+        """The vocabulary's strings that alone are one pre-token and one token: proved by encoding each.
+
+        The driver does so once, offline; workers are told (learnt()) and never prove anything.
+        """
         texts = []
         for b in self.merge.token_byte_values():
             try:
                 texts.append(b.decode())
             except UnicodeDecodeError:
                 continue
-        return {t: 1 for t, e in zip(texts, self.library.encode_batch(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1 and self.split(t) == [t]}
+        return [t for t, e in zip(texts, self.library.encode_batch(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1 and self.split(t) == [t]]
+
+    def learnt(self, whole: list[str]) -> Vocabulary:
+        """This vocabulary, which takes the strings as proved elsewhere."""
+        self.__dict__.setdefault("whole_tokens", whole)
+        return self
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special string inside is one token, as the library's default has it."""
@@ -94,7 +102,7 @@ class Counts(dict):
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.proved = vocabulary.whole_tokens()
+        self.proved = dict.fromkeys(vocabulary.whole_tokens, 1)
         super().__init__(self.proved)
 
     def __missing__(self, token: str) -> int:
@@ -115,13 +123,14 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
     """Per row: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Null text counts as empty: 0 bytes and tokens. Rows are independent, so repeats repeat; no
-    shuffle. Other columns, whatever their names, are not read.
+    shuffle. Other columns, whatever their names, are not read. The strings proved to be whole tokens
+    (as many as the vocabulary has, at most) go out with the function.
     """
-    small_batches(docs.sparkSession)
+    whole = vocabulary(name).whole_tokens
     schema = docs.select(F.col(key).alias(key)).schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(name)
+        own = vocabulary(name).learnt(whole)
         for b in batches:
             n = [own.count(t) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import at_most, small_batches, tidy, written
+from fathom.llm.common import at_most, tidy, written
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of doc_id.
 FIT_ROWS = 40_000
@@ -242,7 +242,6 @@ def token_scores(train: DataFrame) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model from the training rows; with no toxic or no clean label it scores every text 0."""
-    small_batches(docs.sparkSession)
     train = training_rows(docs, labels, rows)
     model = Model(token_scores(train))
     if not any(s > 0 for s in model.scores.values()):
@@ -328,7 +327,6 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     Null and empty texts have no passage and the score of no evidence. Rows are independent, so
     repeats repeat; an empty table gives an empty one. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("chance", pa.float64())]))
 
@@ -358,7 +356,6 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null or empty text has no passage, so it stays unless the model takes every text for toxic; repeated
     rows are judged each; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def clean(texts):
