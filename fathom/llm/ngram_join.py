@@ -317,8 +317,9 @@ ENTRY = "gram long, n long, set long, place long, alone long"
 #: How candidates are chosen, round by round: neighbours in the order of size; of each set and n-gram the most alike; twice; all that is left.
 ROUNDS = ("next", "nearest", "nearest", "all")
 
-#: Sets of one n-gram that a task compares with each other; a longer list is split, and every two parts meet in a task of their own.
-LIST_ROWS = 5_000
+#: Sets of one n-gram that a task compares with each other. A longer list is cut into parts of about as many: in the last
+#: round every two parts meet in a list of their own, before it parts change with the n-gram and the round.
+LIST_ROWS = 1_500
 
 #: Places in a list, sorted by size, that the nearest is looked for on either side; the last round has no such bound.
 NEAR = 1000
@@ -328,11 +329,12 @@ def _candidates(how: str):
     """Pairs (a < b, two sets' ids) that share a prefix n-gram, may overlap enough and lie in different components.
 
     At the first n-gram that both have, no more can follow than the shorter rest of the two; in all
-    but the first round bitmaps bound the overlap again.
+    but the first round bitmaps bound the overlap again. Where two parts of a list meet (side is not
+    null), only sets of different parts are compared.
     """
 
     def block(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        gram, n, own, place, alone, group = (t[c].to_numpy() for c in ("gram", "n", "set", "place", "alone", "component"))
+        gram, n, own, place, alone, group, side = (t[c].to_numpy() for c in ("gram", "n", "set", "place", "alone", "component", "side"))
         sketch = np.zeros((len(gram), 1), U) if how == "next" else np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, SKETCH_WORDS)
         begin, end = np.searchsorted(gram, gram, "left"), np.searchsorted(gram, gram, "right")
         minor = np.ones(len(gram), bool)
@@ -357,7 +359,7 @@ def _candidates(how: str):
             i, j = np.concatenate([up, back - d]), np.concatenate([up + d, back])
             sums = n[i] + n[j]
             least = -(-ABOVE * sums // (ABOVE + BELOW))
-            ok = (group[i] != group[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+            ok = (group[i] != group[j]) & ((side[i] != side[j]) | (side[i] < 0)) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
             i, j, least, sums = i[ok], j[ok], least[ok], sums[ok]
             for at in range(0, len(i), 50_000):
                 s = slice(at, at + 50_000)
@@ -397,13 +399,35 @@ def _candidates(how: str):
     return rows
 
 
-def _split_lists(placed: DataFrame) -> DataFrame:
-    """placed with lists of over LIST_ROWS sets cut by a hash of the set; every pair of parts is a list with a name of its own."""
+def _split_lists(placed: DataFrame, how: str, k: int) -> DataFrame:
+    """placed with lists of over LIST_ROWS sets cut by a hash of the set, each part a list with a name of its own.
+
+    In the last round a part is compared with itself there (side is -1) and with each other part in a list
+    of the two. The rounds before only look for links that join components soon, so there parts stay apart.
+    """
     parts = F.ceil(F.col("m") / LIST_ROWS).cast("int")
+    if how != "all":
+        mine = F.pmod(F.xxhash64("set", "gram", F.lit(k)), parts)
+        return placed.withColumn("gram", F.when(parts > 1, F.xxhash64("gram", mine)).otherwise(F.col("gram"))).withColumn("side", F.lit(-1)).drop("m")
     mine = F.pmod(F.xxhash64("set"), parts).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64("gram", F.least(mine, k), F.greatest(mine, k)))
-    names = F.when(parts > 1, F.array_distinct(meets)).otherwise(F.array("gram"))
-    return placed.withColumn("gram", F.explode(names)).drop("m")
+    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.xxhash64("gram", F.least(mine, j), F.greatest(mine, j)).alias("gram"), F.when(j == mine, -1).otherwise(mine).alias("side")))
+    names = F.when(parts > 1, meets).otherwise(F.array(F.struct(F.col("gram").alias("gram"), F.lit(-1).alias("side"))))
+    return placed.withColumn("meet", F.explode(names)).withColumn("gram", F.col("meet.gram")).withColumn("side", F.col("meet.side")).drop("m", "meet")
+
+
+def _with_counts(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """placed with m of counts (gram, m), n-grams of neither left out.
+
+    Counts are broadcast if a look at their number allows it. Else those of long lists are (there are
+    at most as many as LIST_ROWS goes into all entries), so that a common n-gram is never shuffled whole; the rest meets by a shuffle.
+    """
+    counts = written(counts, "counts")
+    if counts.count() <= BROADCAST_KEYS:
+        return placed.join(F.broadcast(counts), "gram")
+    long = counts.where(F.col("m") > LIST_ROWS)
+    long = F.broadcast(long) if long.count() <= BROADCAST_KEYS else long
+    short = placed.join(long.select("gram"), "gram", "left_anti").join(counts.where(F.col("m") <= LIST_ROWS), "gram")
+    return placed.join(long, "gram").unionByName(short)
 
 
 def _counting_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,16 +524,15 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
             continue
         if found is None:
             placed = entries.withColumn("component", F.col("set"))
-            sizes = placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-            placed = placed.join(sizes, "gram")
+            placed = _with_counts(placed, placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         else:  # only n-grams that still have sets of two components matter, from now on
             placed = entries.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
             open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("gram", "m")
-            placed = written(placed.join(open_, "gram"), "open")
+            placed = written(_with_counts(placed, open_), "open")
             entries = placed.drop("component", "m")
         if how != "next":
             placed = placed.join(ordered.select("set", "sketch"), "set")
-        lists = _split_lists(placed).repartition("gram").sortWithinPartitions("gram", "n", "set")
+        lists = _split_lists(placed, how, k).repartition("gram").sortWithinPartitions("gram", "n", "set")
         pairs = written(lists.mapInArrow(_candidates(how), "a long, b long").distinct(), "pairs")
         if not pairs.limit(1).count():  # of neighbours only: the last round still looks at all that is left
             idle = how
