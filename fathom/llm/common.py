@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -86,6 +87,22 @@ def tidy() -> None:
         trim(0)
 
 
+def groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Rows with the same value of a column, together; the input is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        v = b.column(b.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(v)) + 1).tolist(), len(v)]
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if held and (i or v[a] != held[-1].column(b.schema.get_field_index(column))[0].as_py()):
+                yield pa.Table.from_batches(held)
+                held = []
+            if z > a:
+                held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import tidy, written
+from fathom.llm.common import groups, tidy, written
+from fathom.llm.hashing import BYTE, HASH_BYTES, SPACE, U, mixed, odd, range_hashes
 
 #: Words of an n-gram, and the similarity of a link as a fraction: contract values.
 WORDS = 5
@@ -21,9 +22,6 @@ FIRST_PARTS = 5
 #: N-grams of a fragment, about: the number of fragments follows the input.
 FRAGMENT = 500_000
 
-#: Bytes of texts that are hashed at once; a longer text goes alone.
-HASH_BYTES = 1 << 18
-
 #: Texts whose n-grams leave a task together, packed by fragment.
 PACK_TEXTS = 2000
 
@@ -39,46 +37,17 @@ BROADCAST_KEYS = 1_000_000
 #: Candidate pairs of a round, two numbers each, that are broadcast; more are shuffled.
 BROADCAST_PAIRS = 500_000
 
-U = np.uint64
-
-
-def _odd(seed: int, n: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, U) | U(1)
-
-
-_BYTE, _POWER, _PLACE = _odd(1, 256), _odd(2, 1)[0], _odd(3, WORDS)
-_INVERSE = U(pow(int(_POWER), -1, 1 << 64))
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PLACE = odd(3, WORDS)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(_POWER, HASH_BYTES + 64), _powers(_INVERSE, HASH_BYTES + 64)
-
-
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of bytes, and where each starts. A-Z are lower-cased; words lie between white space."""
-    n = len(data)
-    up, down = (_UP, _DOWN) if n <= len(_UP) else (_powers(_POWER, n), _powers(_INVERSE, n))
-    space = _SPACE[data]
-    sums = np.zeros(n + 1, U)
-    np.cumsum(np.where(space, U(0), _BYTE[_LOWER[data]] * up[:n]), out=sums[1:])
+    space = SPACE[data]
     edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
     first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return _mixed((sums[end] - sums[first]) * down[first] + (end - first).astype(U)), first
+    return range_hashes(np.where(space, U(0), BYTE[_LOWER[data]]), first, end), first
 
 
 def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -97,12 +66,12 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         grams = np.zeros(n, U)
         for k in range(WORDS):
             grams += words[k : k + n] * _PLACE[k]
-        grams = _mixed(grams)
+        grams = mixed(grams)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= WORDS:
                 yield np.unique(grams[a : b - WORDS + 1])
             else:
-                yield _mixed(np.sum(words[a:b] * _PLACE[: b - a], keepdims=True) + U(b - a)) if b > a else np.zeros(0, U)
+                yield mixed(np.sum(words[a:b] * _PLACE[: b - a], keepdims=True) + U(b - a)) if b > a else np.zeros(0, U)
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -169,25 +138,9 @@ def _first_look(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(rows, f"key {kind}, set long, n long, part long, fragment long, sets binary, runs binary, grams binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Rows with the same value of a column, together; the input is sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        v = b.column(b.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(np.diff(v)) + 1).tolist(), len(v)]
-        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if held and (i or v[a] != held[-1].column(b.schema.get_field_index(column))[0].as_py()):
-                yield pa.Table.from_batches(held)
-                held = []
-            if z > a:
-                held.append(b.slice(a, z - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each fragment: set, shared (its n-grams there that another set has too, by 32 bits)."""
-    for t in _groups(batches, "fragment"):
+    for t in groups(batches, "fragment"):
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in t["sets"].to_pylist()])
         runs = np.concatenate([np.frombuffer(x, np.uint32) for x in t["runs"].to_pylist()])
         grams = np.concatenate([np.frombuffer(x, np.uint32) for x in t["grams"].to_pylist()])
@@ -258,7 +211,7 @@ def _shared_segments(bits: int):
     """Of each fragment, without the n-grams that only one set has: by bucket of sets, sets, ns, runs, grams, and df (how many sets have each, at most 65535)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "fragment"):
+        for t in groups(batches, "fragment"):
             ids, at = np.unique(_read(t, "sets", np.int64), return_inverse=True)
             sizes = np.zeros(len(ids), np.uint32)
             sizes[at] = _read(t, "ns", np.uint32)
@@ -279,7 +232,7 @@ def _shared_segments(bits: int):
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each set with enough of them: its shared n-grams, rarest first, then by hash; its prefix's length in them; its bitmap."""
-    for t in _groups(batches, "bucket"):
+    for t in groups(batches, "bucket"):
         runs = _read(t, "runs", np.uint32)
         own, grams, df = np.repeat(_read(t, "sets", np.int64), runs), _read(t, "grams", U), _read(t, "df", np.uint16)
         sizes = np.repeat(_read(t, "ns", np.uint32), runs)
@@ -384,7 +337,7 @@ def _candidates(how: str):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for t in _groups(batches, "gram"):
+        for t in groups(batches, "gram"):
             if t.num_rows > 1:
                 held.append(t)
                 size += t.num_rows

@@ -1,30 +1,39 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, and windows picked by their least hash, deduplicated by digest."""
+"""Substring dedup: content-defined chunks by a gear rolling hash are deduplicated by digest; what texts with repeated chunks share is then found word by word."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, tidy, written
+from fathom.llm.common import fresh, groups, tidy, written
+from fathom.llm.hashing import BYTE, HASH_BYTES, SPACE, U, range_hashes
 
-#: A chunk ends where the rolling hash of the last WINDOW bytes has its MASK_BITS top bits 0: every 2**MASK_BITS bytes on average.
-WINDOW = 32
-MASK_BITS = 5
+#: Words of a passage that counts as repeated, at least, and the least that may be asked for: in fewer, a whole chunk is too rare.
+PASSAGE_WORDS, FEWEST = 51, 40
 
-#: Bytes of a chunk: the least, so that common phrases alone make none, and the most.
-LEAST, MOST = 24, 2048
+#: Bytes that the rolling hash covers, and one word in how many, on average, ends a chunk.
+WINDOW, WORDS_A_CUT = 16, 3
 
-#: Bytes of neighbouring repeated pieces from which a span is reported: a passage of over 50 words has more.
-SPAN_BYTES = 120
+#: Words without a cut after which there is one every so many words: the same words over and over hash alike, and may give none.
+NO_CUT, FORCED = 24, 8
 
-#: Bytes of a picked window (over SPAN_BYTES, also without divided characters at its ends), and the starts of which one at least
-#: is picked: texts that share SHARED + AMONG - 1 = 191 bytes have a window in common, whatever stands around them.
-SHARED, AMONG = 128, 64
+#: Bytes of a word, at most: longer runs without white space count as several.
+WORD_BYTES = 64
+
+#: Chunks, or passages, of a fragment, about: the number of fragments follows the input.
+FRAGMENT = 500_000
+
+#: Chunks, or passages, of texts that leave a task together, packed by fragment.
+PACK = 300_000
+
+#: Keys of texts that hold repeated chunks, which are broadcast to pick the texts, a few MB at most; for more the texts are shuffled once.
+BROADCAST_KEYS = 1_000_000
 
 
 @lru_cache(1)
@@ -33,145 +42,377 @@ def gear() -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240101)).integers(0, 1 << 32, 256, np.uint32)
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of bytes (uint8), the last one len(data).
-
-    The gear hash h[i] = 2 h[i-1] + gear[byte] has, in 32 bits, a window of 32 bytes; here it is
-    summed up by doubling, for all places at once. Only cuts at least LEAST apart count, and a chunk
-    that reaches MOST is cut there. No cut divides a character.
-    """
-    whole = lambda e: e >= len(data) or data[e] & 0xC0 != 0x80
-    h = gear()[data]
-    step = 1
+def rolling(data: np.ndarray) -> np.ndarray:
+    """The gear hash h[i] = 2 h[i-1] + gear[byte] over the last WINDOW bytes, summed up by doubling, for all places at once."""
+    h, step = gear()[data], 1
     while step < WINDOW:
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
-    ends, last = [], 0
-    for e in (np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1).tolist():
-        while e - last > MOST:
-            last = next(x for x in range(last + MOST, len(data) + 1) if whole(x))
-            ends.append(last)
-        if e - last >= LEAST and whole(e):
-            ends.append(e)
-            last = e
-    while len(data) - last > MOST:
-        last = next(x for x in range(last + MOST, len(data) + 1) if whole(x))
-        ends.append(last)
-    if len(data) > last:
-        ends.append(len(data))
-    return np.array(ends, np.int64)
+    return h
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of UTF-8 bytes: between white space; characters of scripts that
+    don't part words (from U+3000 on) are a word each, and longer words are cut every WORD_BYTES, but within no character."""
+    space = SPACE[data]
+    start = ~space & np.concatenate([[True], space[:-1]])
+    follows = data & 0xC0 == 0x80
+    alone = data >= 0xE3
+    if alone.any():
+        lead = np.maximum.accumulate(np.where(follows, 0, np.arange(len(data))))
+        start |= alone
+        start[1:] |= ~space[1:] & ~follows[1:] & alone[lead[:-1]]
+    first = np.flatnonzero(start)
+    closing = np.flatnonzero(np.diff(np.concatenate([space, [True]]).view(np.int8)) == 1) + 1
+    end = np.minimum(closing[np.searchsorted(closing, first, "right")], np.append(first[1:], len(data))) if len(first) else first
+    if (end - first > WORD_BYTES).any():
+        again = np.concatenate([np.arange(a, z, WORD_BYTES) if z - a > WORD_BYTES else [a] for a, z in zip(first.tolist(), end.tolist(), strict=True)])
+        again = again[~follows[again]]
+        end = np.minimum(end[np.searchsorted(first, again, "right") - 1], np.append(again[1:], len(data)))
+        first = again
+    return first, end
 
 
-@lru_cache(1)
-def _window_bytes() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240102)).integers(0, 1 << 64, 256, np.uint64)
-
-
-def _sliding(least: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
-    """least over each n neighbours of x; as many places fewer."""
-    step = 1
-    while step < n:
-        more = min(step, n - step)
-        x = least(x[:-more], x[more:])
-        step += more
-    return x
-
-
-def windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First bytes and ends of the windows of SHARED bytes whose hash is the least of AMONG neighbours; divided characters at their ends are left out."""
-    if len(data) < SHARED:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, power, step = _window_bytes()[data], 0x9E3779B97F4A7C15, 1
-    while step < SHARED:
-        h = h[:-step] * np.uint64(power) + h[step:]
-        power, step = power * power % (1 << 64), step * 2
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    n = min(AMONG, len(h))
-    low = _sliding(np.minimum, h, n)
-    edge = np.zeros(n - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, low, edge]), n) == h)
-    same = np.concatenate([[False], (np.diff(at) == 1) & (h[at[1:]] == h[at[:-1]])])
-    place = np.arange(len(at))
-    since = place - np.maximum.accumulate(np.where(same, 0, place))
-    at = at[(since % (AMONG // 2) == 0) | ~np.concatenate([same[1:], [False]])]  # of one byte over and over, some and the last
-    follows = np.concatenate([data & 0xC0 == 0x80, [False]])
-    first, end = at.copy(), at + SHARED
-    for _ in range(3):
-        first += follows[first]
-        end -= follows[end]
-    return first, end
+def text_words(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its number, the first bytes and ends of its words, their hashes, and which of them the rolling hash ends a chunk at."""
+    at, gap = 0, b"\n" * WINDOW
+    while at < len(texts):
+        begin, part, size = at, [], 0
+        while at < len(texts) and (not part or size + len(texts[at] or b"") < HASH_BYTES):
+            part.append(texts[at] or b"")
+            size += len(part[-1]) + WINDOW
+            at += 1
+        data = np.frombuffer(gap + gap.join(part) + gap, np.uint8)  # the hash at a text's start doesn't see the one before
+        first, end = word_bounds(data)
+        hashes = range_hashes(BYTE[data], first, end)
+        cut = rolling(data)[end - 1] < np.uint32((1 << 32) // WORDS_A_CUT)
+        offsets = np.cumsum([WINDOW] + [len(p) + WINDOW for p in part])
+        bounds = np.searchsorted(first, offsets)
+        for k in range(len(part)):
+            s = slice(bounds[k], bounds[k + 1])
+            yield begin + k, first[s] - offsets[k], end[s] - offsets[k], hashes[s], cut[s]
+
+
+def chunk_bounds(cut: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of a text's chunks: from each cut, and the text's start, to the first cut, or the
+    text's end, that is ``least`` words on. So chunks overlap, and a passage has the same ones in any text, but for its ends."""
+    n = len(cut)
+    places = np.concatenate([[0], np.flatnonzero(cut[:-1]) + 1, [n]]) if n else np.zeros(1, np.int64)
+    wide = np.flatnonzero(np.diff(places) > NO_CUT)
+    if len(wide):
+        places = np.sort(np.concatenate([places, *(np.arange(places[k] + FORCED, places[k + 1], FORCED) for k in wide)]))
+    to = np.searchsorted(places, places + least)
+    has = to < len(places)
+    return places[has], places[to[has]]
+
+
+def _fragments(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U(64 - bits)).astype(np.int64)
+
 
+def _bits(rows: float) -> int:
+    return max(4, int(np.ceil(np.log2(max(1.0, rows / FRAGMENT)))))
 
-def chunk_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, number (from 0; -1 for a window), first (byte), size, and the piece's 128-bit digest as d1, d2; no shuffle."""
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
+
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal neighbours begin and end."""
+    new = np.zeros(len(columns[0]) + 1, bool)
+    new[[0, -1]] = True
+    for c in columns:
+        new[1:-1] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _new_pack() -> int:
+    return uuid.uuid4().int >> 65
+
+
+# ---- chunks
+
+
+def _chunk_packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """Two kinds of rows. Of each pack of texts: pack, keys and counts (words) of its texts, who (those that share a chunk within the pack).
+    Of each fragment and pack: fragment, pack, who (a text of each chunk, as its place in the pack) and low (32 bits of each chunk's
+    digest). Chunks are deduplicated before they leave: one that many texts hold is one entry for each pack."""
+    kind = docs.schema["key"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        keys, counts, held, size, schema = [], [], [], 0, None
+
+        def pack() -> pa.RecordBatch:
+            name, flat = _new_pack(), np.concatenate(held)
+            who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held])
+            order = np.lexsort((who, flat))
+            flat, who = flat[order], who[order]
+            same = flat[1:] == flat[:-1]
+            twice = np.concatenate([same & (who[1:] != who[:-1]), [False]])
+            twice[1:] |= twice[:-1]
+            out = [(name, keys, counts, None, np.unique(who[twice]).tobytes(), None)]
+            once = np.concatenate([[True], ~same])[: len(flat)]
+            flat, who = flat[once], who[once]
+            where, low = _fragments(flat, bits), (flat >> U(32 - bits)).astype(np.uint32)
+            out += [(name, None, None, int(where[a]), who[a:z].tobytes(), low[a:z].tobytes()) for a, z in (_runs(where) if len(where) else [])]
+            return _batch(out, schema)
 
-        digest = xxhash.xxh3_128_digest
         for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            at, number, first, size, digests = [], [], [], [], []
-            for k, data in enumerate(texts):
-                if data:
-                    raw = np.frombuffer(data, np.uint8)
-                    ends = cuts(raw)
-                    more, more_ends = windows(raw)
-                    number += [np.arange(len(ends)), np.full(len(more), -1)]
-                    begin = np.concatenate([[0], ends[:-1], more])
-                    ends = np.concatenate([ends, more_ends])
-                    at.append(np.full(len(ends), k))
-                    first.append(begin)
-                    size.append(ends - begin)
-                    digests += [digest(data[i:j]) for i, j in zip(begin.tolist(), ends.tolist(), strict=True)]
-            if at:
-                d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                cat = np.concatenate
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(cat(at))), *map(pa.array, (cat(number), cat(first), cat(size), d[:, 0].copy(), d[:, 1].copy()))], ["key", "number", "first", "size", "d1", "d2"])
+            schema = schema or pa.schema([("pack", pa.int64()), ("keys", pa.list_(b.column(0).type)), ("counts", pa.list_(pa.int64())), ("fragment", pa.int64()), ("who", pa.binary()), ("low", pa.binary())])
+            names = b.column(0).to_pylist()
+            for k, first, _, hashes, cut in text_words(b.column(1).to_pylist()):
+                if len(first) < words:
+                    continue
+                a, z = chunk_bounds(cut, max(1, (words - 19) // 2))
+                keys.append(names[k])
+                counts.append(len(first))
+                held.append(range_hashes(hashes, a, z))
+                size += len(a)
+                if size >= PACK:
+                    yield pack()
+                    keys, counts, held, size = [], [], [], 0
+        if held:
+            yield pack()
         tidy()
 
-    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where(F.length("text") > 0)
-    return slim.mapInArrow(rows, f"key {kind}, number long, first long, size long, d1 long, d2 long")
+    return docs.mapInArrow(rows, f"pack long, keys array<{kind}>, counts array<long>, fragment long, who binary, low binary")
+
+
+def _texts_with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each fragment: pack, who (its texts that hold a chunk there which another text holds too)."""
+    for t in groups(batches, "fragment"):
+        blobs = t["who"].to_pylist()
+        who, low = np.frombuffer(b"".join(blobs), np.uint32), np.frombuffer(b"".join(t["low"].to_pylist()), np.uint32)
+        packs, at = t["pack"].to_numpy(), np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
+        order = np.argsort(low, kind="stable")
+        same = low[order][1:] == low[order][:-1]
+        hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        both = np.unique((at[hit].astype(U) << U(32)) | who[hit].astype(U))
+        at, who = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.uint32)
+        out = [(int(packs[at[a]]), who[a:z].tobytes()) for a, z in (_runs(at) if len(at) else [])]
+        yield _batch(out, pa.schema([("pack", pa.int64()), ("who", pa.binary())]))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, words of the texts that any fragment names, from rows of the same pack."""
+    for t in groups(batches, "pack"):
+        keys = counts = None
+        who: set[int] = set()
+        for k, c, w in zip(t["keys"], t["counts"].to_pylist(), t["who"].to_pylist(), strict=True):
+            if c is not None:
+                keys, counts = k.values, c
+            who.update(np.frombuffer(w, np.uint32).tolist())
+        at = sorted(who)
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array([counts[k] for k in at], pa.int64())], ["key", "words"])
+
+
+def candidates(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
+    """key, words of the texts (docs: key, text as binary) that share a chunk with another one: a table."""
+    kind = docs.schema["key"].dataType.simpleString()
+    bits = _bits((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 / WORDS_A_CUT)
+    packs = written(_chunk_packs(docs, words, bits), "chunks")
+    by_fragment = packs.where("fragment is not null").select("fragment", "pack", "who", "low").repartition(1 << bits, "fragment").sortWithinPartitions("fragment")
+    found = by_fragment.mapInArrow(_texts_with_repeats, "pack long, who binary")
+    texts = packs.where("fragment is null").select("pack", "keys", "counts", "who")
+    named = found.select("pack", F.lit(None).cast(texts.schema["keys"].dataType).alias("keys"), F.lit(None).cast("array<long>").alias("counts"), "who").unionByName(texts)
+    return written(named.repartition("pack").sortWithinPartitions("pack").mapInArrow(_named, f"key {kind}, words long"), "candidates")
+
+
+# ---- passages
+
+
+def _passage_packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """Passages are all runs of ``words`` words; a pack's equal ones are one, that of the smallest key, before they leave.
+    Rows of two kinds: of each fragment and pack its passages: fragment, pack, who and keys (texts), runs (passages of each),
+    hashes, firsts and sizes (bytes). Of each pack those that have equals in it, as the former but for hashes: the place of the one
+    that leaves, and whether two keys hold it."""
+    kind = docs.schema["key"].dataType.simpleString()
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held, size, schema = [], [], 0, None
+
+        def pack() -> pa.RecordBatch:
+            name = _new_pack()
+            flat, first, span = (np.concatenate(c) for c in zip(*held, strict=True))
+            who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[0]) for h in held])
+            names = pa.array(keys, schema.field("keys").type.value_type).to_numpy(zero_copy_only=False)
+            rank = np.unique(names, return_inverse=True)[1][who]
+            order = np.lexsort((first, who, rank, flat))
+            new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+            least = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            group = np.cumsum(new) - 1
+            many = np.bincount(group)[group] > 1
+            last = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1][group]
+            two = rank[least] != rank[last]
+            own, others = order[new], order[many]
+            out = []
+
+            def put(fragment: int | None, at: np.ndarray, equals: np.ndarray) -> None:
+                at_who = _runs(who[at])
+                texts = [int(who[at[i]]) for i, _ in at_who]
+                out.append((fragment, name, np.array(texts, np.uint32).tobytes(), [keys[w] for w in texts], np.array([j - i for i, j in at_who], np.uint32).tobytes(), equals.tobytes(), first[at].tobytes(), span[at].tobytes()))
+
+            where = _fragments(flat[own], bits)
+            sort = np.lexsort((first[own], who[own], where))
+            own, where = own[sort], where[sort]
+            for a, z in _runs(where):
+                put(int(where[a]), own[a:z], flat[own[a:z]])
+            if len(others):
+                sort = np.lexsort((first[others], who[others]))
+                equals = _place(who[least], first[least]) | np.where(two, TWO_KEYS, U(0))
+                put(None, others[sort], equals[many][sort])
+            return _batch(out, schema)
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", span_bytes: int = SPAN_BYTES, within: bool = False) -> DataFrame:
-    """A row for each repeated span: key, start and end (bytes of the UTF-8 text), n_chunks, first_key, kept, cuts.
+        for b in batches:
+            schema = schema or pa.schema([("fragment", pa.int64()), ("pack", pa.int64()), ("who", pa.binary()), ("keys", pa.list_(b.column(0).type)), *((c, pa.binary()) for c in ("runs", "hashes", "firsts", "sizes"))])
+            names = b.column(0).to_pylist()
+            for k, first, end, hashes, _ in text_words(b.column(1).to_pylist()):
+                n = len(first) - words + 1
+                if n <= 0:
+                    continue
+                at = np.arange(n)
+                keys.append(names[k])
+                held.append((range_hashes(hashes, at, at + words), first[:n].astype(np.uint32), (end[words - 1 :] - first[:n]).astype(np.uint32)))
+                size += n
+                if size >= PACK:
+                    yield pack()
+                    keys, held, size = [], [], 0
+        if held:
+            yield pack()
+        tidy()
 
-    A piece (chunk or window) repeats if texts of two keys or more hold it; ``within`` also counts repeats
-    inside a text. Repeated pieces that touch or overlap make a span of n_chunks chunks (none, if windows alone
-    show it); spans of at least span_bytes count. Each piece stays in the text with the smallest key that
-    holds it; first_key is the smallest of those keys in the span, cuts the (first, size) of the pieces
-    that stay elsewhere (they may overlap), and kept says that there are none.
-    Digests are counted before the shuffle, so a chunk that a third of the texts hold is one row a
-    task. Null and empty texts have no chunk; rows without a key take no part; rows that repeat a key
-    and its text share their spans. Other columns are not read.
+    return docs.mapInArrow(rows, f"fragment long, pack long, who binary, keys array<{kind}>, runs binary, hashes binary, firsts binary, sizes binary")
+
+
+#: Marks a passage that texts of two keys in its pack hold.
+TWO_KEYS = U(1 << 63)
+
+
+def _place(who: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A passage's text and first byte in one number, by which a pack knows it."""
+    return (who.astype(U) << U(32)) | first.astype(U)
+
+
+def _repeated_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each fragment and pack: the passages that texts of two keys hold, by text, with the smallest of the keys."""
+    for t in groups(batches, "fragment"):
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in t[c].to_pylist()]  # noqa: B023, E731
+        all_keys = pa.chunked_array(t["keys"]).combine_chunks().flatten()
+        names, rank = np.unique(all_keys.to_numpy(zero_copy_only=False), return_inverse=True)
+        whos, runs = read("who", np.uint32), read("runs", np.uint32)
+        each = np.concatenate(runs)
+        key, who = np.repeat(rank, each), np.repeat(np.concatenate(whos), each)
+        at = np.repeat(np.arange(t.num_rows), [int(r.sum()) for r in runs])
+        flat, first, size = (np.concatenate(read(c, k)) for c, k in (("hashes", U), ("firsts", np.uint32), ("sizes", np.uint32)))
+        order = np.lexsort((key, flat))
+        h, k = flat[order], key[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        span = np.diff(np.append(start, len(h)))
+        least, most = k[start], k[start + span - 1]
+        hit = np.repeat(least != most, span)
+        order, least = order[hit], np.repeat(least, span)[hit]
+        back = np.lexsort((first[order], who[order], at[order]))
+        order, least = order[back], least[back]
+        packs, type_ = t["pack"].to_numpy(), t["keys"].type.value_type
+        out = []
+        for a, z in _runs(at[order]) if len(order) else []:
+            mine = order[a:z]
+            own = _runs(who[mine])
+            uniq, place = np.unique(least[a:z], return_inverse=True)
+            out.append((int(packs[at[mine[0]]]), np.array([who[mine[i]] for i, _ in own], np.uint32).tobytes(), names[[key[mine[i]] for i, _ in own]].tolist(), np.array([j - i for i, j in own], np.uint32).tobytes(), first[mine].tobytes(), size[mine].tobytes(), place.astype(np.uint32).tobytes(), names[uniq].tolist()))
+        yield _batch(out, pa.schema([("pack", pa.int64()), ("who", pa.binary()), ("keys", pa.list_(type_)), *((c, pa.binary()) for c in ("runs", "firsts", "sizes", "least")), ("names", pa.list_(type_))]))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text and run of overlapping repeated passages a row, from the rows of a pack: passages that fragments
+    found repeated (with the smallest key of each), and those that equal others of the pack."""
+    for t in groups(batches, "pack"):
+        type_ = t["keys"].type.value_type
+        blobs = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t[c].to_pylist() if x is not None] or [np.zeros(0, kind)])  # noqa: B023, E731
+        values = pa.concat_arrays([x.flatten() for c in ("keys", "names") for x in t[c].chunks])
+        names, rank = np.unique(values.to_numpy(zero_copy_only=False), return_inverse=True)
+        n_keys, n_names = (np.array([len(x or ()) for x in t[c].to_pylist()]) for c in ("keys", "names"))
+        runs = blobs("runs", np.uint32)
+        who, key = np.repeat(blobs("who", np.uint32), runs), np.repeat(rank[: n_keys.sum()], runs)
+        first, size = blobs("firsts", np.uint32), blobs("sizes", np.uint32).astype(np.int64)
+        each = [len(x) // 4 for x in t["firsts"].to_pylist()]
+        told = np.repeat([x is not None for x in t["least"].to_pylist()], each)
+        place, least = _place(who, first), np.full(len(who), -1)
+        base = np.repeat(n_keys.sum() + np.cumsum(n_names) - n_names, each)
+        least[told] = rank[blobs("least", np.uint32).astype(np.int64) + base[told]]
+        if not told.all():  # those of the pack share the fate of the one that left; if none else has it, their own keys decide
+            equal = blobs("equals", U)
+            several, equal = equal >= TWO_KEYS, equal & ~TWO_KEYS
+            order = np.argsort(place[told])
+            left, left_least = place[told][order], least[told][order]
+            at = np.searchsorted(left, equal)
+            hit = np.append(left, TWO_KEYS)[at] == equal
+            _, which = np.unique(equal, return_inverse=True)
+            own = np.full(which.max() + 1, len(names))
+            np.minimum.at(own, which, key[~told])
+            least[~told] = np.where(hit, np.append(left_least, -1)[at], np.where(several, own[which], -1))
+        _, at = np.unique(place, return_index=True)  # by text, then by first byte; what left the pack is among its own, too
+        at = at[least[at] >= 0]
+        who, key, first, end, least = who[at], key[at], first[at].astype(np.int64), (first + size)[at], least[at]
+        out = []
+        for a, z in _runs(who) if len(who) else []:
+            f, e, own = first[a:z], end[a:z], int(key[a])  # ends are in the order of firsts
+            for i, j in _cover(f, e):
+                elsewhere = np.flatnonzero(least[a + i : a + j] != own) + i
+                gone = [(int(f[elsewhere[p]]), int(e[elsewhere[q - 1]] - f[elsewhere[p]])) for p, q in (_cover(f[elsewhere], e[elsewhere]) if len(elsewhere) else [])]
+                out.append((*names[[own]].tolist(), int(f[i]), int(e[j - 1]), j - i, *names[[least[a + i : a + j].min()]].tolist(), not gone, [{"first": x, "size": y} for x, y in gone]))
+        cuts = pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())]))
+        yield _batch(out, pa.schema([("key", type_), ("start", pa.int64()), ("end", pa.int64()), ("n_passages", pa.int64()), ("first_key", type_), ("kept", pa.bool_()), ("cuts", cuts)]))
+
+
+def _cover(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Which neighbours overlap, one with the next."""
+    at = np.flatnonzero(np.concatenate([[True], first[1:] >= end[:-1], [True]])).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """A row for each repeated span: key, start and end (bytes of the UTF-8 text), n_passages, first_key, kept, cuts.
+
+    A passage is a run of ``words`` words (as word_bounds() has them; the white space between doesn't count). It repeats if texts of two
+    keys hold it, and overlapping repeated passages of a text make a span of n_passages. Each passage
+    stays in the text with the smallest key that holds it; first_key is the smallest of those keys in
+    the span, cuts the (first, size) of what stays elsewhere, and kept says that there is none.
+
+    Texts are cut where a gear rolling hash says; chunks (of about a third of the words, so that any repeated passage
+    has one whole, but with a chance of one in ten thousand) are deduplicated by digest, and only texts that share one
+    are looked at word by word, which decides. Both times digests are counted by
+    fragments of their order, in which a chunk that many texts hold is one entry for each.
+
+    Null and empty texts, and texts of fewer words, have no passage; rows without a key take no part; rows that repeat a key
+    and its text share their spans, and don't count as two. An empty table has no span. Other columns are not read.
     """
-    chunks = chunk_rows(docs.where(F.col(key).isNotNull()), key, text)  # worked out twice: written, they take more disk than the texts
-    held = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
-    twice = written(held.where("copies > 1" if within else "first_key <> last_key").select("d1", "d2", "first_key"), "repeated")
-    hits = chunks.join(twice, ["d1", "d2"]).select("key", "number", "first", "size", "first_key").distinct()
-    end = F.col("first") + F.col("size")
-    order = Window.partitionBy("key").orderBy("first", "size", "number", "first_key")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    apart = hits.withColumn("apart", F.coalesce(F.col("first") > F.max(end).over(before), F.lit(True)).cast("long"))
-    runs = apart.withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chunk = F.struct("first", "size")
-    spans = runs.groupBy("key", "run").agg(
-        F.min("first").alias("start"), F.max(end).alias("end"), F.count(F.when(F.col("number") >= 0, 1)).alias("n_chunks"), F.min("first_key").alias("first_key"),
-        F.array_sort(F.collect_list(F.when(F.col("first_key") != F.col("key"), chunk))).alias("cuts"),
-    )
-    long = spans.where(F.col("end") - F.col("start") >= span_bytes)
-    return long.select(F.col("key").alias(key), "start", "end", "n_chunks", "first_key", (F.size("cuts") == 0).alias("kept"), "cuts")
-
-
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span_bytes: int = SPAN_BYTES) -> DataFrame:
+    if words < FEWEST:
+        raise ValueError(f"passages of under {FEWEST} words may hold no chunk")
+    slim = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where(F.col("key").isNotNull() & (F.length("text") > 0))
+    kind = slim.schema["key"].dataType.simpleString()
+    found = candidates(slim, words)
+    size = found.agg(F.count(F.lit(1)), F.sum("words")).first()
+    wanted = found.select("key").distinct()
+    members = slim.join(F.broadcast(wanted) if size[0] <= broadcast_keys else wanted, "key", "left_semi")
+    bits = _bits(size[1] or 0)
+    packs = written(_passage_packs(members, words, bits), "passages")
+    repeated = packs.where("fragment is not null").repartition(1 << bits, "fragment").sortWithinPartitions("fragment").mapInArrow(_repeated_passages, f"pack long, who binary, keys array<{kind}>, runs binary, firsts binary, sizes binary, least binary, names array<{kind}>")
+    own = packs.where("fragment is null").select("pack", "who", "keys", "runs", "firsts", "sizes", F.col("hashes").alias("equals"))
+    spans = repeated.unionByName(own, allowMissingColumns=True).repartition("pack").sortWithinPartitions("pack").mapInArrow(_spans, f"key {kind}, start long, end long, n_passages long, first_key {kind}, kept boolean, cuts array<struct<first:long,size:long>>")
+    return spans.distinct().withColumnRenamed("key", key)
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
     """docs with the text of repeated spans left only where it stays; all other columns and rows as they are.
 
-    Texts with cuts alone are rewritten; a text that is cut whole becomes empty.
+    Texts with cuts alone are rewritten; a text that is cut whole becomes empty. Rows without a key,
+    null and empty texts stay as they are, rows that repeat are cut alike; an empty table gives an empty one.
     """
-    spans = repeated_spans(docs, key, text, span_bytes).where(~F.col("kept"))
+    spans = repeated_spans(docs, key, text, words).where(~F.col("kept"))
     cuts = fresh(docs, "cuts")
     by_key = spans.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("cuts"))).alias(cuts))
 
