@@ -57,14 +57,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing will read again: all that came of it must be written itself."""
+    _delete(table.sparkSession, table._written_at)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; results that read it are void after."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}")
 
 
 def at_most(df: DataFrame, key: str, rows: int) -> DataFrame:

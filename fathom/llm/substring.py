@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, groups, tidy, written
+from fathom.llm.common import discard, fresh, groups, tidy, written
 from fathom.llm.hashing import BYTE, HASH_BYTES, SPACE, U, range_hashes
 
 #: Words of a passage that counts as repeated, at least, and the least that may be asked for: in fewer, a whole chunk is too rare.
@@ -32,8 +32,8 @@ FRAGMENT = 500_000
 #: Chunks, or passages, of texts that leave a task together, packed by fragment.
 PACK = 300_000
 
-#: Keys of texts that hold repeated chunks, which are broadcast to pick the texts, a few MB at most; for more the texts are shuffled once.
-BROADCAST_KEYS = 1_000_000
+#: Texts with repeated chunks whose keys and marks are broadcast, and words of each on average, three for a bit: 40 MB at most. For more the texts are shuffled once.
+BROADCAST_ROWS, BITS_A_ROW = 500_000, 1_000
 
 
 @lru_cache(1)
@@ -137,95 +137,120 @@ def _new_pack() -> int:
 
 
 def _chunk_packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Two kinds of rows. Of each pack of texts: pack, keys and counts (words) of its texts, who (those that share a chunk within the pack).
-    Of each fragment and pack: fragment, pack, who (a text of each chunk, as its place in the pack) and low (32 bits of each chunk's
-    digest). Chunks are deduplicated before they leave: one that many texts hold is one entry for each pack."""
+    """Two kinds of rows. Of each pack of texts: pack, keys, texts (a hash of each), counts (words) and chunks of its texts, at (chunks that
+    another text of the pack has). Of each fragment and pack: fragment, pack, at (chunks, by their number in the pack) and low (32 bits of
+    each one's digest). Chunks are deduplicated before they leave: one that many texts hold is one entry for each pack."""
     kind = docs.schema["key"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held, size, schema = [], [], [], 0, None
+        keys, texts, counts, held, size, schema = [], [], [], [], 0, None
 
         def pack() -> pa.RecordBatch:
             name, flat = _new_pack(), np.concatenate(held)
-            who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h) for h in held])
-            order = np.lexsort((who, flat))
-            flat, who = flat[order], who[order]
-            same = flat[1:] == flat[:-1]
-            twice = np.concatenate([same & (who[1:] != who[:-1]), [False]])
-            twice[1:] |= twice[:-1]
-            out = [(name, keys, counts, None, np.unique(who[twice]).tobytes(), None)]
-            once = np.concatenate([[True], ~same])[: len(flat)]
-            flat, who = flat[once], who[once]
-            where, low = _fragments(flat, bits), (flat >> U(32 - bits)).astype(np.uint32)
-            out += [(name, None, None, int(where[a]), who[a:z].tobytes(), low[a:z].tobytes()) for a, z in (_runs(where) if len(where) else [])]
+            chunks = [len(h) for h in held]
+            who = np.repeat(np.arange(len(held)), chunks)
+            order = np.argsort(flat, kind="stable")
+            same = flat[order][1:] == flat[order][:-1]
+            group = np.cumsum(np.append(True, ~same)) - 1
+            start = np.flatnonzero(np.append(True, ~same))
+            two = who[order[start]] != who[order[np.append(start[1:], len(order)) - 1]]  # by text within a group
+            out = [(name, keys, texts, counts, chunks, None, np.sort(order[two[group]]).astype(np.uint32).tobytes(), None)]
+            own = order[start].astype(np.uint32)
+            where, low = _fragments(flat[own], bits), (flat[own] >> U(32 - bits)).astype(np.uint32)
+            out += [(name, None, None, None, None, int(where[a]), own[a:z].tobytes(), low[a:z].tobytes()) for a, z in _runs(where)]
             return _batch(out, schema)
 
         for b in batches:
-            schema = schema or pa.schema([("pack", pa.int64()), ("keys", pa.list_(b.column(0).type)), ("counts", pa.list_(pa.int64())), ("fragment", pa.int64()), ("who", pa.binary()), ("low", pa.binary())])
+            many = pa.list_(pa.int64())
+            schema = schema or pa.schema([("pack", pa.int64()), ("keys", pa.list_(b.column(0).type)), ("texts", many), ("counts", many), ("chunks", many), ("fragment", pa.int64()), ("at", pa.binary()), ("low", pa.binary())])
             names = b.column(0).to_pylist()
             for k, first, _, hashes, cut in text_words(b.column(1).to_pylist()):
                 if len(first) < words:
                     continue
-                a, z = chunk_bounds(cut, max(1, (words - 19) // 2))
+                a, z = chunk_bounds(cut, _least(words))
                 keys.append(names[k])
+                texts.append(_text_hash(hashes))
                 counts.append(len(first))
                 held.append(range_hashes(hashes, a, z))
                 size += len(a)
                 if size >= PACK:
                     yield pack()
-                    keys, counts, held, size = [], [], [], 0
+                    keys, texts, counts, held, size = [], [], [], [], 0
         if held:
             yield pack()
         tidy()
 
-    return docs.mapInArrow(rows, f"pack long, keys array<{kind}>, counts array<long>, fragment long, who binary, low binary")
+    return docs.mapInArrow(rows, f"pack long, keys array<{kind}>, texts array<long>, counts array<long>, chunks array<long>, fragment long, at binary, low binary")
 
 
-def _texts_with_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each fragment: pack, who (its texts that hold a chunk there which another text holds too)."""
+def _least(words: int) -> int:
+    """Words of a chunk, at least, so that a passage of ``words`` words has room for a cut before and after it."""
+    return (words - 19) // 2
+
+
+def _text_hash(hashes: np.ndarray) -> int:
+    return int(range_hashes(hashes, np.zeros(1, np.int64), np.array([len(hashes)])).view(np.int64)[0])
+
+
+def _repeated_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each fragment: pack, at (its chunks there that another pack holds too)."""
     for t in groups(batches, "fragment"):
-        blobs = t["who"].to_pylist()
-        who, low = np.frombuffer(b"".join(blobs), np.uint32), np.frombuffer(b"".join(t["low"].to_pylist()), np.uint32)
-        packs, at = t["pack"].to_numpy(), np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
+        blobs = t["at"].to_pylist()
+        at, low = np.frombuffer(b"".join(blobs), np.uint32), np.frombuffer(b"".join(t["low"].to_pylist()), np.uint32)
+        packs, of = t["pack"].to_numpy(), np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
         order = np.argsort(low, kind="stable")
         same = low[order][1:] == low[order][:-1]
-        hit = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        both = np.unique((at[hit].astype(U) << U(32)) | who[hit].astype(U))
-        at, who = (both >> U(32)).astype(np.int64), (both & U(0xFFFFFFFF)).astype(np.uint32)
-        out = [(int(packs[at[a]]), who[a:z].tobytes()) for a, z in (_runs(at) if len(at) else [])]
-        yield _batch(out, pa.schema([("pack", pa.int64()), ("who", pa.binary())]))
+        hit = np.sort(order[np.concatenate([same, [False]]) | np.concatenate([[False], same])])
+        out = [(int(packs[of[hit[a]]]), at[hit[a:z]].tobytes()) for a, z in (_runs(of[hit]) if len(hit) else [])]
+        yield _batch(out, pa.schema([("pack", pa.int64()), ("at", pa.binary())]))
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, words of the texts that any fragment names, from rows of the same pack."""
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text (hash), words, marks (a bit for each chunk) of the texts with repeated chunks, from rows of the same pack."""
     for t in groups(batches, "pack"):
-        keys = counts = None
-        who: set[int] = set()
-        for k, c, w in zip(t["keys"], t["counts"].to_pylist(), t["who"].to_pylist(), strict=True):
-            if c is not None:
-                keys, counts = k.values, c
-            who.update(np.frombuffer(w, np.uint32).tolist())
-        at = sorted(who)
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array([counts[k] for k in at], pa.int64())], ["key", "words"])
+        own = next(k for k, x in enumerate(t["keys"].is_valid().to_pylist()) if x)
+        chunks = t["chunks"][own].as_py()
+        marks = np.zeros(sum(chunks), bool)
+        for x in t["at"].to_pylist():
+            marks[np.frombuffer(x, np.uint32)] = True
+        ends = np.cumsum(chunks)
+        some = [k for k, (z, n) in enumerate(zip(ends.tolist(), chunks, strict=True)) if marks[z - n : z].any()]
+        take = lambda c: t[c][own].values.take(pa.array(some, pa.int64()))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([take("keys"), take("texts"), take("counts"), pa.array([np.packbits(marks[ends[k] - chunks[k] : ends[k]]).tobytes() for k in some], pa.binary())], ["key", "text", "words", "marks"])
 
 
 def candidates(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
-    """key, words of the texts (docs: key, text as binary) that share a chunk with another one: a table."""
+    """key, text (a hash), words, marks (a bit for each chunk, set for the repeated ones) of the texts (docs: key,
+    text as binary) that share a chunk with another one: a table."""
     kind = docs.schema["key"].dataType.simpleString()
     bits = _bits((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6 / WORDS_A_CUT)
     packs = written(_chunk_packs(docs, words, bits), "chunks")
-    by_fragment = packs.where("fragment is not null").select("fragment", "pack", "who", "low").repartition(1 << bits, "fragment").sortWithinPartitions("fragment")
-    found = by_fragment.mapInArrow(_texts_with_repeats, "pack long, who binary")
-    texts = packs.where("fragment is null").select("pack", "keys", "counts", "who")
-    named = found.select("pack", F.lit(None).cast(texts.schema["keys"].dataType).alias("keys"), F.lit(None).cast("array<long>").alias("counts"), "who").unionByName(texts)
-    return written(named.repartition("pack").sortWithinPartitions("pack").mapInArrow(_named, f"key {kind}, words long"), "candidates")
+    by_fragment = packs.where("fragment is not null").select("fragment", "pack", "at", "low").repartition(1 << bits, "fragment").sortWithinPartitions("fragment")
+    found = by_fragment.mapInArrow(_repeated_chunks, "pack long, at binary")
+    named = packs.where("fragment is null").select("pack", "keys", "texts", "counts", "chunks", "at").unionByName(found, allowMissingColumns=True)
+    out = written(named.repartition("pack").sortWithinPartitions("pack").mapInArrow(_marked, f"key {kind}, text long, words long, marks binary"), "candidates")
+    discard(packs)
+    return out
 
 
 # ---- passages
 
 
+def _places(hashes: np.ndarray, cut: np.ndarray, words: int, marks: list[dict]) -> np.ndarray:
+    """First words of a text's passages that hold a repeated chunk; marks: of its key's texts, those with this one's hash count."""
+    own = [m["marks"] for m in marks if m["text"] == _text_hash(hashes)] if len(hashes) >= words else []
+    if not own:
+        return np.zeros(0, np.int64)
+    a, z = chunk_bounds(cut, _least(words))
+    hit = np.bitwise_or.reduce([np.unpackbits(np.frombuffer(m, np.uint8), count=len(a)) for m in own]).astype(bool)
+    digests = range_hashes(hashes, a, z)
+    hit = np.isin(digests, digests[hit])  # of equal chunks in a text, one is marked
+    a, z, at = a[hit], z[hit], np.arange(len(hashes) - words + 1)
+    return at[np.append(z, len(hashes) + words)[np.searchsorted(a, at)] <= at + words]
+
+
 def _passage_packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """Passages are all runs of ``words`` words; a pack's equal ones are one, that of the smallest key, before they leave.
+    """Passages are runs of ``words`` words with a repeated chunk in them; a pack's equal ones are one, that of the smallest key, before they leave.
     Rows of two kinds: of each fragment and pack its passages: fragment, pack, who and keys (texts), runs (passages of each),
     hashes, firsts and sizes (bytes). Of each pack those that have equals in it, as the former but for hashes: the place of the one
     that leaves, and whether two keys hold it."""
@@ -269,14 +294,14 @@ def _passage_packs(docs: DataFrame, words: int, bits: int) -> DataFrame:
         for b in batches:
             schema = schema or pa.schema([("fragment", pa.int64()), ("pack", pa.int64()), ("who", pa.binary()), ("keys", pa.list_(b.column(0).type)), *((c, pa.binary()) for c in ("runs", "hashes", "firsts", "sizes"))])
             names = b.column(0).to_pylist()
-            for k, first, end, hashes, _ in text_words(b.column(1).to_pylist()):
-                n = len(first) - words + 1
-                if n <= 0:
+            marks = b.column(2).to_pylist()
+            for k, first, end, hashes, cut in text_words(b.column(1).to_pylist()):
+                at = _places(hashes, cut, words, marks[k])
+                if not len(at):
                     continue
-                at = np.arange(n)
                 keys.append(names[k])
-                held.append((range_hashes(hashes, at, at + words), first[:n].astype(np.uint32), (end[words - 1 :] - first[:n]).astype(np.uint32)))
-                size += n
+                held.append((range_hashes(hashes, at, at + words), first[at].astype(np.uint32), (end[at + words - 1] - first[at]).astype(np.uint32)))
+                size += len(at)
                 if size >= PACK:
                     yield pack()
                     keys, held, size = [], [], 0
@@ -374,7 +399,7 @@ def _cover(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row for each repeated span: key, start and end (bytes of the UTF-8 text), n_passages, first_key, kept, cuts.
 
     A passage is a run of ``words`` words (as word_bounds() has them; the white space between doesn't count). It repeats if texts of two
@@ -383,8 +408,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     the span, cuts the (first, size) of what stays elsewhere, and kept says that there is none.
 
     Texts are cut where a gear rolling hash says; chunks (of about a third of the words, so that any repeated passage
-    has one whole, but with a chance of one in ten thousand) are deduplicated by digest, and only texts that share one
-    are looked at word by word, which decides. Both times digests are counted by
+    has one whole, but with a chance of one in ten thousand) are deduplicated by digest, and only passages around
+    repeated chunks are compared whole, which decides. Both times digests are counted by
     fragments of their order, in which a chunk that many texts hold is one entry for each.
 
     Null and empty texts, and texts of fewer words, have no passage; rows without a key take no part; rows that repeat a key
@@ -396,8 +421,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     kind = slim.schema["key"].dataType.simpleString()
     found = candidates(slim, words)
     size = found.agg(F.count(F.lit(1)), F.sum("words")).first()
-    wanted = found.select("key").distinct()
-    members = slim.join(F.broadcast(wanted) if size[0] <= broadcast_keys else wanted, "key", "left_semi")
+    marks = found.groupBy("key").agg(F.collect_list(F.struct("text", "marks")).alias("marks"))
+    members = slim.join(F.broadcast(marks) if size[0] <= broadcast_rows and (size[1] or 0) <= BITS_A_ROW * broadcast_rows else marks, "key")
     bits = _bits(size[1] or 0)
     packs = written(_passage_packs(members, words, bits), "passages")
     repeated = packs.where("fragment is not null").repartition(1 << bits, "fragment").sortWithinPartitions("fragment").mapInArrow(_repeated_passages, f"pack long, who binary, keys array<{kind}>, runs binary, firsts binary, sizes binary, least binary, names array<{kind}>")

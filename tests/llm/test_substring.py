@@ -112,13 +112,12 @@ def corpus(seed):
     return [*texts, texts[3], (7, texts[3][1]), (None, common), (8000, None), (8001, "")]
 
 
-def test_against_brute_force(spark, monkeypatch):
+def test_against_brute_force(spark):
     texts = corpus(1)
     want = brute(texts)
     assert len(want) > 200 and any(c and k != min(k, f) for k, _, _, f, _, c in want)
     assert found(spark, texts) == want
-    monkeypatch.setattr(substring, "BROADCAST_KEYS", 0)
-    assert found(spark, texts, broadcast_keys=0) == want
+    assert found(spark, texts, broadcast_rows=0) == want
 
 
 def test_texts_of_many_packs_and_fragments(spark, monkeypatch):
