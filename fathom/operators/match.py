@@ -12,9 +12,9 @@ from fathom.operators.patterns import Pattern, java_pattern
 
 
 def search(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", sets: Mapping[str, Sequence[str]] | None = None, case: bool = True, overlap: bool = False) -> DataFrame:
-    """key, pos (from 0), value of every match. Patterns that mean the same in Java run there; others in Arrow batches."""
+    """key, pos (from 0), value of every match. Patterns that mean the same in Java, named sets of literal texts included, run there; others in Arrow batches."""
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    java = None if overlap or sets else java_pattern(pattern, case)
+    java = None if overlap else java_pattern(pattern, case, sets)
     if java is not None:
         return slim.select(F.col("key").alias(key), F.posexplode(F.regexp_extract_all("text", F.lit(java), F.lit(0))).alias("pos", "value"))
     kind = slim.schema[0].dataType.simpleString()

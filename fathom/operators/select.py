@@ -15,7 +15,7 @@ from fathom.plans.expressions import SyntaxProblem
 from fathom.plans.nodes import Schema
 from fathom.plans.parser import field_names, parse
 
-#: Documents of an Arrow batch.
+#: Documents whose result rows leave together.
 BATCH = 500
 
 
@@ -37,7 +37,7 @@ def _rows(docs: DataFrame, steps: tuple, names: Sequence[str], source: str, url:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fathom.operators.interpret import run
 
-        for b in batches:
+        for b in (b.slice(k, BATCH) for b in batches for k in range(0, b.num_rows, BATCH)):
             at, pos, cells = [], [], [[] for _ in range(width)]
             for k, (s, u) in enumerate(zip(b.column(n_keep).to_pylist(), b.column(n_keep + 1).to_pylist(), strict=True)):
                 for i, r in enumerate(run(s, steps, u, variables).values()):
@@ -60,9 +60,6 @@ def query(docs: DataFrame, text: str, source: str = "html", url: str | None = "u
     condition and outputs become columns where built-in functions can say them. Documents that are
     NULL give no row. Other columns of docs are not read.
     """
-    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH:
-        spark.conf.set(key, str(BATCH))
     steps, given = parse(text), dict(variables or {})
     inside, after = _lowered(steps)
     names = field_names(inside) or ["value"]

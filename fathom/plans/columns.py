@@ -95,6 +95,12 @@ def compare(op: str, a: Typed, b: Typed) -> Column:
     return F.when(both, F.coalesce(do(a.number(), b.number()), F.lit(False))).otherwise(text)
 
 
+def text_key(x: Typed) -> Column:
+    """Equal for texts that compare as equal: numbers by value, others as they are. NULL equals NULL alone."""
+    number = F.concat(F.lit("n"), (x.number() + F.lit(0.0)).cast("string"))
+    return F.coalesce(F.when(x.column.rlike(NUMERIC), number).otherwise(F.concat(F.lit("t"), x.column)), F.lit("0"))
+
+
 def condition(node, fields: Mapping[str, Typed]) -> Column:
     """An expression as a filter: NULL and false both drop a row there, so comparisons stay bare and reach the scan."""
     if isinstance(node, Binary):
@@ -111,6 +117,8 @@ def condition(node, fields: Mapping[str, Typed]) -> Column:
                 return do(a.number(), b.number())
             if b.literal and isinstance(node.right, Literal) and node.right.value not in (None, "") and node.op not in ("!=", "<>", "<", "<="):
                 return do(a.column, b.column)
+            if node.op in ("=", "==") and a.kind == b.kind == "text" and not (a.literal or b.literal):
+                return text_key(a) == text_key(b)  # a key of either side, by which tables can be joined
     return column(node, fields).truth()
 
 

@@ -258,7 +258,9 @@ def _select(df: DataFrame, p: Clauses, names: dict[str, str] | None = None) -> D
         by_key = {f"key{k}": t for k, t in enumerate(keys)}
         same = {g: f"key{k}" for k, g in enumerate(groups or [])}
         others = {n.lower() for _, e in plain if e not in same for n in names_in(e) if n not in found and n.lower() in fields}
-        aggs = [_aggregate(c, fields).alias(n) for n, c in found.items()] + [F.last(fields[n].column).alias(f"last_{n}") for n in sorted(others)]
+        if others:  # other columns are those of a group's last row, in the table's order
+            df = df.withColumn("fx_place", F.monotonically_increasing_id())
+        aggs = [_aggregate(c, fields).alias(n) for n, c in found.items()] + [F.max_by(fields[n].column, F.col("fx_place")).alias(f"last_{n}") for n in sorted(others)]
         grouped = df.groupBy(*[t.column.alias(n) for n, t in by_key.items()])
         df = grouped.agg(*aggs) if aggs else grouped.agg(F.count(F.lit(1)).alias("fx_n"))
         fields = {n: Typed(F.col(f"last_{n}"), fields[n].kind) for n in sorted(others)} | {n: Typed(F.col(n), "number") for n in found} | {n: Typed(F.col(n), t.kind) for n, t in by_key.items()}

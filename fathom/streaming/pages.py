@@ -15,13 +15,19 @@ from fathom.operators.select import query
 stream_query = query
 
 
-def changes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def changes(pages: DataFrame, url: str = "url", html: str = "html", forget_after: str | None = "30 days") -> DataFrame:
     """url, version, changed (characters that differ) of each new snapshot of a page, on a stream.
 
-    The state of a URL is its last text's number and content; equal snapshots give no row.
+    The state of a URL is its last text's number and content; equal snapshots give no row. A URL that
+    no batch has named for ``forget_after`` (processing time) is forgotten, and begins at version 1 if it comes again; None keeps all.
     """
+    kept = None if forget_after is None else int(pd.Timedelta(forget_after).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=[url, "version", "changed"])
+            return
         version, last = state.get if state.exists else (0, "")
         out = []
         for f in frames:
@@ -31,10 +37,12 @@ def changes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
                     out.append((key[0], version, differing(last, text)))
                     last = text
         state.update((version, last))
+        if kept is not None:
+            state.setTimeoutDuration(kept)
         yield pd.DataFrame(out, columns=[url, "version", "changed"])
 
     slim = pages.select(F.col(url).cast("string").alias(url), F.col(html).cast("string").alias(html))
-    return slim.groupBy(url).applyInPandasWithState(step, f"`{url}` string, version long, changed long", "version long, html string", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy(url).applyInPandasWithState(step, f"`{url}` string, version long, changed long", "version long, html string", "append", GroupStateTimeout.NoTimeout if kept is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def differing(a: str, b: str) -> int:

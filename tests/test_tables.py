@@ -40,6 +40,27 @@ def test_row_numbers(spark):
     assert sorted(r.n for r in execute(df, "SELECT rownum AS n, id FROM t").collect()) == [float(k) for k in range(1, 101)]
 
 
+def test_tables_join_by_text_keys(spark):
+    """Texts that are equal, or as numbers equal, or both NULL: found by a join, not by multiplying tables out."""
+    from fathom.plans.sql import execute_over
+
+    texts = ["a", "A", "1", "1.0", "01", " 1", "-0", "0", "", None, "x y", "1e0"]
+    one = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, k string")
+    two = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "j int, k2 string")
+    out = execute_over({"p": one, "q": two}, "SELECT i, j FROM p, q WHERE k = k2 and i >= 0")
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
+    cross = one.crossJoin(two)
+    slow = execute(cross, "SELECT i, j FROM t WHERE not (k <> k2)")
+    assert sorted(rows(out)) == sorted(rows(slow)) and (0.0, 1.0) not in rows(out) and (2.0, 3.0) in rows(out)
+
+
+def test_other_columns_of_a_group_are_those_of_its_last_row(spark):
+    df = spark.createDataFrame([(k % 3, k, f"v{k}" if k != 29 else None) for k in range(30)], "g int, k int, v string").coalesce(3)
+    got = {r.g: (r.k, r.v, r.n) for r in execute(df, "SELECT g, k, v, count(k) AS n FROM t GROUP BY g").collect()}
+    assert got == {0.0: (27.0, "v27", 10.0), 1.0: (28.0, "v28", 10.0), 2.0: (29.0, None, 10.0)}
+
+
 def test_series(spark):
     df = spark.createDataFrame([("u", k, float(v)) for k, v in enumerate([1, 5, 2, 2, 9])], "u string, t int, v double")
     assert [r.moved for r in series.moving(df, ["u"], ["t"], "v", 1).orderBy("t").collect()] == [1.0, 3.0, 3.5, 2.0, 5.5]
@@ -75,6 +96,8 @@ def test_streams(spark, tmp_path):
     assert sorted(r.tx for r in spark.table("links_seen").collect()) == ["1", "2"]
     _drain(pages.changes(stream), "append", "changes_seen", tmp_path)
     assert sorted((r.url, r.version) for r in spark.table("changes_seen").collect()) == [("u", 1), ("u", 2), ("v", 1)]
+    _drain(pages.changes(stream, forget_after=None), "append", "changes_kept", tmp_path)
+    assert spark.table("changes_kept").count() == 3
     assert pages.differing("<a>1</a>", "<a>22</a>") == 2 and pages.differing("x", "x") == 0
 
 
