@@ -5,8 +5,9 @@ from __future__ import annotations
 import ctypes
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, own)
 
 
+def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of BATCH_ROWS: what a worker makes of texts at once stays small, whatever the session sets."""
+    for b in batches:
+        for k in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(k, BATCH_ROWS)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -113,6 +121,17 @@ def groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def tidied(rows: Callable) -> Callable:
+    """A partition's function that gives its memory back at the end."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch], *more) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches, *more)
+        tidy()
+
+    return run
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

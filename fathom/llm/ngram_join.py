@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import groups, tidy, written
+from fathom.llm.common import groups, tidied, tidy, written
 from fathom.llm.hashing import BYTE, HASH_BYTES, SPACE, U, mixed, odd, range_hashes
 
 #: Words of an n-gram, and the similarity of a link as a fraction: contract values.
@@ -20,7 +20,7 @@ ABOVE, BELOW = 4, 5
 FIRST_PARTS = 5
 
 #: N-grams of a fragment, about: the number of fragments follows the input.
-FRAGMENT = 500_000
+FRAGMENT = 250_000
 
 #: Texts whose n-grams leave a task together, packed by fragment.
 PACK_TEXTS = 2000
@@ -34,6 +34,9 @@ SKETCH_WORDS = 16
 #: Keys that are broadcast to pick texts, a few MB at most; for more the texts are shuffled once.
 BROADCAST_KEYS = 1_000_000
 
+#: Counts of n-grams that are broadcast; of more, those of long lists only.
+BROADCAST_COUNTS = 100_000
+
 #: Candidate pairs of a round, two numbers each, that are broadcast; more are shuffled.
 BROADCAST_PAIRS = 500_000
 
@@ -138,6 +141,7 @@ def _first_look(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(rows, f"key {kind}, set long, n long, part long, fragment long, sets binary, runs binary, grams binary")
 
 
+@tidied
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each fragment: set, shared (its n-grams there that another set has too, by 32 bits)."""
     for t in groups(batches, "fragment"):
@@ -230,6 +234,7 @@ def _shared_segments(bits: int):
     return rows
 
 
+@tidied
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each set with enough of them: its shared n-grams, rarest first, then by hash; its prefix's length in them; its bitmap."""
     for t in groups(batches, "bucket"):
@@ -253,6 +258,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.binary()) for c in cols[4:])], ["set", "n", "alone", "prefix", "grams", "sketch"])
 
 
+@tidied
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """gram, n, set, place (in the set's order, n-grams of its own first), alone: of each n-gram of a prefix."""
     for b in batches:
@@ -272,7 +278,7 @@ ROUNDS = ("next", "nearest", "nearest", "all")
 
 #: Sets of one n-gram that a task compares with each other. A longer list is cut into parts of about as many: in the last
 #: round every two parts meet in a list of their own, before it parts change with the n-gram and the round.
-LIST_ROWS = 1_500
+LIST_ROWS = 500
 
 #: Places in a list, sorted by size, that the nearest is looked for on either side; the last round has no such bound.
 NEAR = 1000
@@ -375,14 +381,15 @@ def _with_counts(placed: DataFrame, counts: DataFrame) -> DataFrame:
     at most as many as LIST_ROWS goes into all entries), so that a common n-gram is never shuffled whole; the rest meets by a shuffle.
     """
     counts = written(counts, "counts")
-    if counts.count() <= BROADCAST_KEYS:
+    if counts.count() <= BROADCAST_COUNTS:
         return placed.join(F.broadcast(counts), "gram")
     long = counts.where(F.col("m") > LIST_ROWS)
-    long = F.broadcast(long) if long.count() <= BROADCAST_KEYS else long
+    long = F.broadcast(long) if long.count() <= BROADCAST_COUNTS else long
     short = placed.join(long.select("gram"), "gram", "left_anti").join(counts.where(F.col("m") <= LIST_ROWS), "gram")
     return placed.join(long, "gram").unionByName(short)
 
 
+@tidied
 def _counting_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
@@ -466,7 +473,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
     members = slim.join(wanted, slim["key"].eqNullSafe(wanted["first_key"]), "left_semi")
     bits = _fragment_bits(left)
     packs = members.select("text").mapInArrow(_segments(bits), "fragment long, sets binary, ns binary, runs binary, grams binary")
-    shared = packs.repartition(1 << bits, "fragment").sortWithinPartitions("fragment").mapInArrow(_shared_segments(bits), "bucket long, sets binary, ns binary, runs binary, grams binary, df binary")
+    shared = packs.repartition(1 << bits, "fragment").sortWithinPartitions("fragment").mapInArrow(tidied(_shared_segments(bits)), "bucket long, sets binary, ns binary, runs binary, grams binary, df binary")
     whole = shared.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_ordered, "set long, n long, alone long, prefix long, grams binary, sketch binary")
     ordered = written(whole, "ordered")
     parts = ordered.select("set", "n", "grams").mapInArrow(_counting_segments, "set long, n long, fragment long, grams array<long>")
@@ -477,7 +484,9 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
             continue
         if found is None:
             placed = entries.withColumn("component", F.col("set"))
-            placed = _with_counts(placed, placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+            long = written(placed.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LIST_ROWS), "long-lists")
+            long = F.broadcast(long) if long.count() <= BROADCAST_COUNTS else long
+            placed = placed.join(long, "gram", "left").withColumn("m", F.coalesce("m", F.lit(1)))  # short lists go as they are
         else:  # only n-grams that still have sets of two components matter, from now on
             placed = entries.join(found, "set", "left").withColumn("component", F.coalesce("component", "set"))
             open_ = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("gram", "m")
@@ -486,7 +495,7 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
         if how != "next":
             placed = placed.join(ordered.select("set", "sketch"), "set")
         lists = _split_lists(placed, how, k).repartition("gram").sortWithinPartitions("gram", "n", "set")
-        pairs = written(lists.mapInArrow(_candidates(how), "a long, b long").distinct(), "pairs")
+        pairs = written(lists.mapInArrow(tidied(_candidates(how)), "a long, b long").distinct(), "pairs")
         if not pairs.limit(1).count():  # of neighbours only: the last round still looks at all that is left
             idle = how
             continue

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.common import by_rows
 
 #: Tokens over which a document is marked.
 LIMIT = 1024
@@ -131,7 +132,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", name:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(name).learnt(whole)
-        for b in batches:
+        for b in by_rows(batches):
             n = [own.count(t) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
 

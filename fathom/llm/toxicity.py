@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import at_most, tidy, written
+from fathom.llm.common import at_most, by_rows, small_batches, tidied, tidy, written
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of doc_id.
 FIT_ROWS = 40_000
@@ -175,7 +175,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = zip(*counts.values(), strict=True) if counts else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["token", "clean", "toxic"])
 
-    for b in batches:
+    for b in by_rows(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for t in {"", *(t for w in set(words(text or "")) for t in tokens_of(w))}:
                 counts.setdefault(t, [0, 0])[toxic] += 1
@@ -217,7 +217,7 @@ def token_scores(train: DataFrame) -> dict[str, float]:
         import xxhash
 
         hits: dict[str, list[str]] = {}
-        for b in batches:
+        for b in by_rows(batches):
             seen: set[tuple] = set()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = ["", *words(text or ""), ""]
@@ -233,7 +233,7 @@ def token_scores(train: DataFrame) -> dict[str, float]:
             cols = list(zip(*seen, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["token", "toxic", "context"])
 
-    places = train.mapInArrow(contexts, "token string, toxic int, context long").distinct()
+    places = train.mapInArrow(tidied(contexts), "token string, toxic int, context long").distinct()
     again = places.groupBy("token").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
     odds, z = _odds("clean", "toxic", n0, n1)
     kept = again.select("token", odds.alias("s"), z.alias("z")).where((F.abs("z") >= SIGNIFICANT) & (F.abs("s") >= LEAST_ODDS))
@@ -243,7 +243,8 @@ def token_scores(train: DataFrame) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model from the training rows; with no toxic or no clean label it scores every text 0."""
     train = training_rows(docs, labels, rows)
-    model = Model(token_scores(train))
+    with small_batches(docs.sparkSession):
+        model = Model(token_scores(train))
     if not any(s > 0 for s in model.scores.values()):
         return model
 
@@ -275,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         cols, many = list(zip(*rows, strict=True)), pa.list_(pa.float64())
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4]), *(pa.array(c, many) for c in cols[4:])], ["toxic", "n", "none", "strong", "scores", "met"])
 
-    seen = written(train.mapInArrow(segment_rows, "toxic int, n long, none long, strong long, scores array<double>, met array<double>"), "toxic-segments")
+    seen = written(train.mapInArrow(tidied(segment_rows), "toxic int, n long, none long, strong long, scores array<double>, met array<double>"), "toxic-segments")
     sums = seen.where("none is not null").collect()  # two rows a task of the training texts
     clean = [r for r in sums if not r.toxic]
     tokens = max(1, sum(r.n for r in clean))
@@ -301,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             found = [model.evidence(n, [(0, 0, s) for s in scores]) for n, scores in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["toxic", "evidence"])
 
-    rows = seen.where("none is null").select("toxic", "n", "scores").mapInArrow(evidence_rows, "toxic int, evidence double").collect()  # a number for each training text
+    rows = seen.where("none is null").select("toxic", "n", "scores").mapInArrow(tidied(evidence_rows), "toxic int, evidence double").collect()  # a number for each training text
     calibrate(model, [(r.evidence, r.toxic, 1) for r in rows] + [(0.0, r.toxic, r.none) for r in sums if r.none])
     return model
 
@@ -331,7 +332,7 @@ def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("chance", pa.float64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_rows(batches):
             evidence, scores, spans = [], [], []
             for t in b.column(1).to_pylist():
                 n, found = model.segments(t)
