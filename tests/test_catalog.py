@@ -12,7 +12,8 @@ def test_rows_equal_those_of_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_run(spark, small, name):
     df = QUERIES[name](spark, small)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+    n = df.count()
+    assert (n == 0) == (name == "form_controls") and len(set(df.columns)) == len(df.columns)  # the pages hold no form
 
 
 def test_entry(spark):
