@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import HASH_BITS, at_most, fresh, md5_60, tidy, written
+from fathom.llm.common import BATCH_ROWS, HASH_BITS, at_most, by_rows, fresh, md5_60, tidied, tidy, written
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of the key.
 FIT_ROWS = 10_000
@@ -101,10 +101,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
     train = docs.select(F.col(key), F.col(text).cast("binary").alias("text")).join(F.broadcast(some), key).groupBy(key).agg(F.min("text").alias("text"), F.first("domain").alias("domain")).select("text", "domain")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_rows(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t)[1].astype(np.float16).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["domain", "x"])
 
-    seen = written(train.mapInArrow(vectors, "domain int, x binary"), "domain-vectors")
+    seen = written(train.mapInArrow(tidied(vectors), "domain int, x binary"), "domain-vectors")
     y, x = np.empty(n := seen.count(), np.int64), np.empty((n, FEATURES), np.float32)
     for k, r in enumerate(seen.toLocalIterator()):  # by partitions, so the driver holds the vectors once
         y[k], x[k] = r.domain, np.frombuffer(r.x, np.float16)
@@ -132,7 +132,7 @@ def posteriors(docs: DataFrame, model: Classifier, key: str = "doc_id", text: st
     kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_rows(batches):
             found = [features(t) for t in b.column(1).to_pylist()]
             p = model.posteriors(np.stack([x for _, x in found])) if found else np.zeros((0, len(model.known)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["key", "tokens", "posterior"])
@@ -270,11 +270,16 @@ def mixed_rows(docs: DataFrame, labels: DataFrame, domains: dict[str, str], weig
     rule = _told(fit_rates(written(posteriors(docs, model, key, text), "posteriors"), weights, **limits), domains)
     rate, again = fresh(docs, "rate"), fresh(docs, "again")
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
-
-        return pd.Series(rule.of(model.posteriors(np.stack([features(t)[1] for t in texts]))) if len(texts) else [], dtype="float64")
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [np.zeros(0)]
+            for k in range(0, len(texts), BATCH_ROWS):  # a slice's features at once, whatever the session's batches are
+                x = np.stack([features(t)[1] for t in texts.slice(k, BATCH_ROWS).to_pylist()])
+                found.append(rule.of(model.posteriors(x)))
+            yield pa.array(np.concatenate(found), pa.float64())
+        tidy()
 
+    of = of.asNondeterministic()  # else the filter below would work it out a second time
     rows = docs.withColumn(rate, of(F.col(text).cast("binary"))).withColumn(again, copies(F.col(rate), F.col(key))).where(F.col(again) > 0)
     return rows.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(again)))).select(*docs.columns)

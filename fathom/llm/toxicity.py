@@ -358,8 +358,10 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     rows are judged each; an empty table gives an empty one.
     """
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: model.score(model.evidence(*model.segments(t))) < 0.5).astype(bool)
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([model.score(model.evidence(*model.segments(t.as_py()))) < 0.5 for t in texts], pa.bool_())
+        tidy()
 
     return docs.where(clean(F.col(text)))
