@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathom.functions.scalar import DATE_TOKENS, DEFAULT_DATE
+from fathom.plans.expressions import SyntaxProblem
+
 FUNCTIONS: dict[str, Callable] = {}
 
 SPACES = " \t\n\r\x0b\x0c"
@@ -143,6 +146,18 @@ def url_decode(s):
     return F.try_url_decode(_s(s))
 
 
+@text
+def get_email(s, pattern=None):
+    if pattern is not None:
+        raise SyntaxProblem("addresses by a pattern have no built-in form")
+    return F.array_join(F.regexp_extract_all(_s(s), F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), F.lit(0)), "\n")
+
+
+@text
+def utf8_encode(s):
+    return F.decode(F.encode(_s(s), "UTF-8"), "ISO-8859-1")
+
+
 @text
 def packnull(s):
     return F.replace(_s(s), F.lit("\0"), F.lit(""))
@@ -255,7 +270,23 @@ def date(v=None):
 
 @date_
 def to_date(v, pattern=None, default=None):
-    return v.date() if pattern is None else F.try_to_timestamp(v.text(), pattern.text())
+    if pattern is None:
+        return v.date() if default is None else F.coalesce(v.date(), default.date())
+    made = F.try_to_timestamp(F.trim(v.text(), F.lit(SPACES)), F.lit(date_pattern(pattern.value)))
+    return made if default is None else F.coalesce(made, default.date())
+
+
+@text
+def to_char(v, pattern=None):
+    """Tokens in capitals give capitals, tokens in small letters small ones."""
+    d, out = v.date(), []
+    for token, plain in date_parts(DEFAULT_DATE if pattern is None else pattern.value):
+        if token is None:
+            out.append(F.lit(plain))
+            continue
+        c = F.date_format(d, DATE_PATTERNS[token])
+        out.append(F.upper(c) if plain.isupper() else F.lower(c) if plain.islower() else c)
+    return F.when(d.isNull(), v.text()).otherwise(F.concat(*out) if out else F.lit(""))
 
 
 @number
@@ -295,5 +326,28 @@ def datediff(unit, a, b):
 DATE_PATTERNS = {"YYYY": "yyyy", "YY": "yy", "MONTH": "MMMM", "MON": "MMM", "MM": "MM", "DDD": "DDD", "DD": "dd", "DAY": "EEEE", "DY": "E", "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "AM": "a", "PM": "a", "Q": "q"}
 
 
-def date_pattern(pattern: str) -> str:
-    return re.sub("|".join(sorted(DATE_PATTERNS, key=len, reverse=True)), lambda m: DATE_PATTERNS[m[0]], pattern)
+def date_parts(pattern: str | None) -> list[tuple[str | None, str]]:
+    """(token in capitals, as written) and (None, the text between tokens) in order. Raises SyntaxProblem for what has no built-in form."""
+    if pattern is None:
+        raise SyntaxProblem("a date pattern from the data has no built-in form")
+    out = []
+    for part in re.split(f"({'|'.join(sorted(DATE_TOKENS, key=len, reverse=True))})", pattern, flags=re.I):
+        token = part.upper() if part.upper() in DATE_TOKENS else None
+        if token is not None and token not in DATE_PATTERNS:
+            raise SyntaxProblem(f"{part!r} in a date pattern has no built-in form")
+        if part:
+            out.append((token, part))
+    return out
+
+
+def date_pattern(pattern: str | None) -> str:
+    """Spark's pattern for reading dates: a number that stands alone may have fewer digits."""
+    parts, out = date_parts(pattern), []
+    for k, (token, plain) in enumerate(parts):
+        if token is None:
+            out.append("'" + plain.replace("'", "''") + "'")
+            continue
+        beside = [t for t, _ in parts[max(0, k - 1) : k + 2] if t is not None]
+        own = DATE_PATTERNS[token]
+        out.append(own[0] if len(beside) == 1 and own in ("MM", "dd", "HH", "hh", "mm", "ss") else own)
+    return "".join(out)

@@ -17,10 +17,10 @@ LEADING = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 class Typed:
-    """A column and what it holds: 'text', 'number', 'date' or 'bool'."""
+    """A column and what it holds: 'text', 'number', 'date' or 'bool'; of a literal text, the text too."""
 
-    def __init__(self, column: Column, kind: str, literal: bool = False) -> None:
-        self.column, self.kind, self.literal = column, kind, literal
+    def __init__(self, column: Column, kind: str, literal: bool = False, value: str | None = None) -> None:
+        self.column, self.kind, self.literal, self.value = column, kind, literal, value
 
     def text(self) -> Column:
         if self.kind == "text":
@@ -129,7 +129,7 @@ def column(node, fields: Mapping[str, Typed]) -> Typed:
             return Typed(F.lit(float(node.value)), "number", True)
         if node.kind == "date":
             return Typed(Typed(F.lit(node.value), "text").date(), "date", True)
-        return Typed(F.lit(node.value).cast("string"), "text", True)
+        return Typed(F.lit(node.value).cast("string"), "text", True, node.value)
     if isinstance(node, Name):
         return fields.get(node.name.lower(), Typed(F.lit(None).cast("string"), "text"))
     if isinstance(node, Unary):

@@ -1,10 +1,10 @@
-"""The table dialect: SELECT, DELETE, UPDATE and INSERT over one table, as DataFrame operations."""
+"""The table dialect: SELECT, DELETE, UPDATE and INSERT over a table, CREATE and DROP over a set of them, as DataFrame operations."""
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from fathom.plans.nodes import Binary, Call, Name, Unary
 
 AGGREGATES = ("count", "sum", "max", "min")
 TYPES = ("number", "integer", "char", "date")
+CLAUSES = ("where", "group", "order", "having")
+CREATED = {"number": "double", "integer": "long", "date": "timestamp"}
 
 
 def fields_of(df: DataFrame) -> dict[str, Typed]:
@@ -95,19 +97,21 @@ def execute(df: DataFrame, statement: str) -> DataFrame:
 
 
 def execute_over(tables: dict[str, DataFrame], statement: str) -> DataFrame:
-    """SELECT over several tables, FROM a, b [AS x] WHERE ...: columns are named by table (a.c) or, where that is clear, alone.
+    """SELECT over several tables, FROM a, b [AS x], (SELECT ...) y WHERE ...: columns are named by table (a.c) or, where that is clear, alone.
 
     Equal columns in WHERE make Spark's planner join by them; nothing is multiplied out first.
     """
     p = Clauses(statement.strip().rstrip(";"))
-    at = _from(p)
+    at = [(execute_over(tables, name) if name not in tables and name[:6].lower() == "select" else tables[name], alias) for name, alias in _from(p)]
     if len(at) == 1:
-        return execute(tables[at[0][0]], statement)
+        df, alias = at[0]
+        p = Clauses(statement.strip().rstrip(";"))
+        p.keyword("select")
+        return _select(df, p, {f"{alias}.{c}".lower(): c for c in df.columns})
     whole, names = None, {}
-    for name, alias in at:
-        df = tables[name]
-        df = df.select(*[F.col(f"`{c}`").alias(f"{alias}__{c}") for c in df.columns])
-        for c in tables[name].columns:
+    for table, alias in at:
+        df = table.select(*[F.col(f"`{c}`").alias(f"{alias}__{c}") for c in table.columns])
+        for c in table.columns:
             names[f"{alias}.{c}".lower()] = f"{alias}__{c}"
             names[c.lower()] = f"{alias}__{c}" if c.lower() not in names else None
         whole = df if whole is None else whole.crossJoin(df)
@@ -117,22 +121,68 @@ def execute_over(tables: dict[str, DataFrame], statement: str) -> DataFrame:
 
 
 def _from(p: Clauses) -> list[tuple[str, str]]:
-    """(table, alias) of the FROM clause, which is read past."""
+    """(table or the text of a nested SELECT, alias) of the FROM clause, which is read past."""
     while p.kind != "end" and p.word() != "from":
         p.advance()
     p.advance()
 
     def one():
-        name = p.advance()
-        if p.keyword("as"):
-            return name, p.advance()
-        if p.kind == "name" and p.word() not in ("where", "group", "order", "having"):
+        name = _nested(p) if p.is_op("(") else p.advance()
+        if p.keyword("as") or (p.kind == "name" and p.word() not in CLAUSES):
             return name, p.advance()
         return name, name
 
     return p.listed(one)
 
 
+def _nested(p: Clauses) -> str:
+    """The text between a parenthesis and the one that closes it, which is read past."""
+    first, depth = p.next, 0
+    while p.kind not in ("end", "bad"):
+        depth += p.is_op("(") - p.is_op(")")
+        if not depth:
+            text = p.text[first : p.start]
+            p.advance()
+            return text.strip()
+        p.advance()
+    raise SyntaxProblem(f"')' is missing in {p.text!r}")
+
+
+def change(tables: dict[str, DataFrame], statement: str) -> dict[str, DataFrame]:
+    """A set of tables as it is after CREATE TABLE t (c type, ...), DROP TABLE t, INSERT, UPDATE or DELETE. Columns without a type are text."""
+    p, out = Clauses(statement.strip().rstrip(";")), dict(tables)
+    if p.keyword("create", "table"):
+        name = p.advance()
+        if name in out or not p.is_op("("):
+            raise SyntaxProblem(f"{name!r} is there already" if name in out else f"'(' is missing at {p.start} in {p.text!r}")
+        p.advance()
+
+        def one() -> T.StructField:
+            c, kind = p.advance().strip('"[]'), (p.advance().lower() if p.kind == "name" else "char")
+            if p.is_op("("):
+                _nested(p)
+            return T.StructField(c, T._parse_datatype_string(CREATED.get(kind, "string")))
+
+        fields = p.listed(one)
+        if not p.is_op(")") or p.advance() and p.kind != "end":
+            raise SyntaxProblem(f"')' is missing at {p.start} in {p.text!r}")
+        out[name] = SparkSession.active().createDataFrame([], T.StructType(fields))
+        return out
+    dropped = p.keyword("drop", "table")
+    if not dropped and not (p.keyword("delete") or p.keyword("update") or p.keyword("insert")):
+        raise SyntaxProblem(f"no change begins so: {statement!r}")
+    if not dropped:
+        p.keyword("from") or p.keyword("into")
+    name = p.advance()
+    if name not in out:
+        raise SyntaxProblem(f"there is no table {name!r}")
+    if dropped:
+        del out[name]
+    else:
+        out[name] = execute(out[name], statement)
+    return out
+
+
 def _table(p: Clauses) -> None:
     if p.kind == "name" and p.word() not in ("where", "set", "values", "group", "order", "having"):
         p.advance()
@@ -226,18 +276,25 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return marked.join(starts, part).withColumn(name, (F.row_number().over(Window.partitionBy(part).orderBy(row)) + F.col("fx_start")).cast("double")).drop(part, row, "fx_n", "fx_start")
 
 
-def _select(df: DataFrame, p: Clauses, names: dict[str, str] | None = None) -> DataFrame:
+def _select(df: DataFrame, p: Clauses, names: dict[str, str] | None = None, nested: bool = False) -> DataFrame:
     unique = p.keyword("unique") or p.keyword("distinct")
     outputs = p.listed(p.output)
     if names is not None:
         _from(p)
     elif p.keyword("from"):
+        if p.is_op("("):
+            p.advance()
+            if not p.keyword("select"):
+                raise SyntaxProblem(f"SELECT is missing at {p.start} in {p.text!r}")
+            df = _select(df, p, nested=True)
+            p.advance()
+            p.keyword("as")
         _table(p)
     where = p.expression() if p.keyword("where") else None
     groups = p.listed(p.expression) if p.keyword("group", "by") else None
     having = p.expression() if p.keyword("having") else None
     orders = p.listed(p.order) if p.keyword("order", "by") else []
-    if p.kind != "end":
+    if not (p.is_op(")") if nested else p.kind == "end"):
         raise SyntaxProblem(f"{p.value!r} at {p.start} isn't expected in {p.text!r}")
     read = set().union(*[names_in(e) for _, e in outputs if e != "*"], names_in(where) if where else set())
     if "rownum" in {n.lower() for n in read} and "rownum" not in {c.lower() for c in df.columns}:

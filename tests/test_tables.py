@@ -35,6 +35,50 @@ def test_changes(people):
             execute(people, bad)
 
 
+def test_nested_selects(spark, people):
+    from fathom.plans.sql import execute_over
+
+    assert rows(execute(people, "SELECT k + 1 AS k FROM (SELECT max(n) AS k FROM (SELECT n FROM t WHERE kind = 'x') u) AS v")) == [(3.0,)]
+    over = {"p": people, "q": people}
+    assert rows(execute_over(over, "SELECT a.name FROM (SELECT name, n FROM p WHERE n > 1) a, q b WHERE a.name = b.name and b.kind = 'y'")) == [("b",)]
+    assert rows(execute_over(over, "SELECT p.name AS k FROM p WHERE p.n = 3")) == [("b",)]
+    assert rows(execute_over(over, "SELECT * FROM (SELECT name, kind FROM p WHERE n = 2) z")) == [("c", "x")]
+    for bad in ("SELECT n FROM (SELECT n FROM t", "SELECT n FROM (DELETE FROM t)", "SELECT n FROM t)"):
+        with pytest.raises(SyntaxProblem):
+            execute(people, bad)
+
+
+def test_tables_made_and_dropped(spark, people):
+    from fathom.plans.sql import change
+
+    made = change({"p": people}, "CREATE TABLE k (a char(9), b number, c integer, d date, e)")
+    assert made["k"].dtypes == [("a", "string"), ("b", "double"), ("c", "bigint"), ("d", "timestamp"), ("e", "string")] and made["k"].count() == 0
+    made = change(made, "INSERT INTO k (a, b) VALUES ('x', 2.5), (null, 1)")
+    assert sorted(rows(made["k"]), key=str) == [("x", 2.5, None, None, None), (None, 1.0, None, None, None)]
+    made = change(change(made, "UPDATE k SET c = b + 1 WHERE a = 'x'"), "DELETE FROM k WHERE a is null")
+    assert rows(made["k"]) == [("x", 2.5, 3, None, None)]
+    assert set(change(made, "DROP TABLE k;")) == {"p"} and set(made) == {"p", "k"}
+    for bad in ("CREATE TABLE p (a)", "CREATE TABLE z", "CREATE TABLE z (a", "DROP TABLE z", "DELETE FROM z", "SELECT * FROM p"):
+        with pytest.raises(SyntaxProblem):
+            change(made, bad)
+
+
+def test_dates_written_and_read(spark):
+    """As columns and as Python values alike, with short numbers, texts between, no date and unknown tokens."""
+    from fathom.functions.scalar import FUNCTIONS, text_of
+
+    df = spark.createDataFrame([("2021/03/04 05:06:07", "4.3.2021"), ("none", "x"), (None, None)], "v string, w string")
+    for pattern in ("DD.MM.YYYY", "YYYYMMDD HH24MISS", "Mon D", "MONTH dd", "Q", "Day, HH24h", ""):
+        try:
+            got = execute(df, f"SELECT to_char(v, '{pattern}') AS r FROM t")
+        except SyntaxProblem:
+            assert pattern == "Mon D"
+            continue
+        assert [r.r for r in got.collect()] == [FUNCTIONS["to_char"](v, pattern) for v in ("2021/03/04 05:06:07", "none", None)], pattern
+    got = execute(df, "SELECT to_char(to_date(w, 'DD.MM.YYYY', '1990-01-01')) AS r FROM t")
+    assert [r.r for r in got.collect()] == [text_of(FUNCTIONS["to_date"](w, "DD.MM.YYYY", "1990-01-01")) for w in ("4.3.2021", "x", None)]
+
+
 def test_row_numbers(spark):
     df = spark.range(100).repartition(7)
     assert sorted(r.n for r in execute(df, "SELECT rownum AS n, id FROM t").collect()) == [float(k) for k in range(1, 101)]
