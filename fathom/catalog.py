@@ -292,7 +292,7 @@ pages("plain_star", "<li>1:tx,ht", _elements("li", 0) + " SELECT page_id, pos, r
 pages("texts_unescaped", "<title>:tx &url_encode &url_decode", _elements("title") + " SELECT page_id, pos, tx FROM e")
 pages("link_parts", "<a>:href &substr(1,3)", LINKS + " SELECT page_id, pos, substr(href, 2, 3) AS href FROM links")
 pages("source_offset", "&offset(1,9)", "SELECT page_id, 0 AS pos, substr(html, 2, 9) AS value FROM pages")
-pages("upper_titles", "<title>:tx &toupper", _elements("title") + " SELECT page_id, pos, upper(tx) AS tx FROM e")
+pages("upper_titles", "<title>:tx &toupper", _elements("title") + " SELECT page_id, pos, upper(replace(tx, 'ß', 'ss')) AS tx FROM e")
 pages("inserted_after", "<title>&insert_after('!')", "SELECT page_id, 0 AS pos, regexp_replace(html, '</title>', '</title>!') AS value FROM pages")
 pages("elements_updated", "<h1>:tx &replace('X')", "SELECT page_id, 0 AS pos, regexp_replace(html, '<h1>.*?</h1>', '<h1>X</h1>', 'gs') AS value FROM pages")
 pages("pattern_conditions", "<a>{t=:tx | t =~ 'th[a-z]*' and not (t =~~ 'the')}", LINKS + ", k AS (SELECT * FROM links WHERE regexp_full_match(tx, '(?i)th[a-z]*') AND tx <> 'the') SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, tx AS t FROM k")
