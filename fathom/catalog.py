@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators import bayes, keywords, match, series
+from fathom.operators import bayes, keys, keywords, match, series
 from fathom.operators.select import query
 from fathom.plans.sql import change, execute, execute_over
 from fathom.sources import tables
@@ -125,7 +125,6 @@ pages(
     _elements("li") + """, n AS (SELECT page_id, count(*) - 1 AS n FROM e GROUP BY page_id)
 SELECT page_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS pos, '<pattern count="' || n || '" score="' || unnest([8, 7, 7]) * n || '">' || unnest(['li a /a /li li a /a /li', 'a /a /li li a /a /li', 'li a /a /li li a /a']) || '</pattern>' AS value FROM n WHERE n > 1""",
 )
-pages("queries_found", "<h1>&find_query", "SELECT page_id, 0 AS pos, '<h1 NORECUR>1' AS value FROM pages")
 pages("list_views", "&find_repeat_views(2)")
 pages("best_view", "&find_best_views(1)")
 pages("leaf_records", "<li>1 &leaves_schema_query", "SELECT page_id, 0 AS pos, '{f1=<a NORECUR>1:tx}' AS value FROM pages")
@@ -360,3 +359,34 @@ def _created(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("sql_tables_created", _created, "SELECT n_name AS nation, unnest(['North', 'Dead']) AS sea, CAST(unnest([100, 304]) AS DOUBLE) AS depth FROM nation WHERE n_regionkey = 0")
+
+# ---- queries found from examples, held against what they give
+
+
+def _given(name: str, docs: Callable[[SparkSession, str], DataFrame], key: str, found: str, more: str, columns: list[str], sql: str) -> None:
+    """The query that is found in each document, run on the same document."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from fathom.api import register_sql
+
+        register_sql(spark)
+        made = docs(spark, d)
+        best = query(made, found, keep=(key, "html")).select(key, "html", F.col("value").alias("best")).where("best <> ''")
+        best.createOrReplaceTempView("fathom_found")
+        cells = ", ".join(f"q.fields[{k}] AS {c}" for k, c in enumerate(columns))
+        return spark.sql(f"SELECT {key}, q.pos, {cells} FROM fathom_found, LATERAL doc_query(html, concat(best, '{more}'), CAST(NULL AS STRING)) q")
+
+    add(name, run, sql)
+
+
+_given("queries_found", lambda s, d: table(s, d, "pages"), "page_id", "<ul>.<a> &find_query('short', 1)", ":href,tx", ["href", "tx"], LINKS + " SELECT page_id, pos, href, tx FROM links")
+_given("queries_found_long", lambda s, d: table(s, d, "pages"), "page_id", r"<li> &find_query('long')./'\n'/1", ":tx", ["tx"], _elements("li") + " SELECT page_id, pos, tx FROM e")
+_given("queries_found_of_one", lambda s, d: table(s, d, "pages"), "page_id", "<a>2 &find_query('short', 1)", ":href", ["href"], LINKS + " SELECT page_id, 0 AS pos, href FROM links WHERE pos = 1")
+_given("queries_found_in_focus", lambda s, d: table(s, d, "pages"), "page_id", "<li>&find_focus_query", ":tx", ["tx"], _elements("li") + " SELECT page_id, pos, tx FROM e")
+_given("key_queries_found", lambda s, d: table(s, d, "nation").selectExpr("n_nationkey", "concat('<p>Name: <b>', n_name, '</b> Region: <i>', n_regionkey, '</i></p>') AS html"), "n_nationkey", "<p>&key_leaves_query('name', 'region')", "", ["name", "region"], "SELECT n_nationkey, 0 AS pos, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+pages("text_queries_found", "<nav>&plain_leaves_query", LINKS + " SELECT page_id, 0 AS pos, string_agg('<@tx>' || (pos + 4) || ':tt', chr(10) ORDER BY pos) AS value FROM links GROUP BY page_id")
+pages("leaf_queries_found", "<nav>&tag_leaves_query", LINKS + " SELECT page_id, 0 AS pos, string_agg('<a NORECUR>' || (pos + 1), chr(10) ORDER BY pos) AS value FROM links GROUP BY page_id")
+_WORD = r"(?:[^\x00-\x7F]|[A-Za-z0-9_]+)"
+texts("first_words", "&text_words('first', 2)", rf"SELECT doc_id, 0 AS pos, regexp_extract(text, '{_WORD}(?:[\x00-/:-@\[-^`{{-\x7F]*{_WORD})?') AS value FROM documents")
+add("rows_inserted_once", lambda s, d: keys.insert_unique(table(s, d, "orders").where("o_orderkey % 3 = 0").select("o_custkey", "o_orderstatus").distinct(), table(s, d, "orders").select("o_custkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"]), "SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+add("ordered_by_flags", lambda s, d: keys.ordered(table(s, d, "part").select("p_partkey", "p_name"), [("p_name", "length desc"), ("p_name", "ci")]), "SELECT p_partkey, p_name FROM part")

@@ -113,6 +113,8 @@ def strfind(s, what, start=None):
 
 @number
 def text_words(s, kind=None, option=None):
+    if kind is not None and (kind.value or "").lower() not in ("count", *([""] if kind.literal else [])):
+        raise SyntaxProblem("only the count of words has a built-in form")
     return F.regexp_count(_s(s), F.lit(r"[^\x00-\x7F]|[A-Za-z0-9_]+")).cast("double")
 
 

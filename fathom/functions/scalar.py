@@ -231,7 +231,7 @@ _WORDS = re.compile(r"[^\x00-\x7F]|[A-Za-z0-9_]+")
 
 @register
 def text_words(s, kind="count", option=""):
-    """count: words, each character beyond ASCII one; first: the first n words; text: the first n pieces."""
+    """count: words, each character beyond ASCII one; first: the first n words; text: the first n pieces; repeat: runs of words that occur n times or more (twice by default), longest first, one a line."""
     s, kind = _s(s), _s(kind).lower() or "count"
     if kind == "count":
         return float(len(_WORDS.findall(s)))
@@ -239,6 +239,13 @@ def text_words(s, kind="count", option=""):
     if kind == "first":
         found = list(_WORDS.finditer(s))[:n]
         return s[found[0].start() : found[-1].end()] if found else ""
+    if kind == "repeat":
+        words, least, seen = [w.lower() for w in _WORDS.findall(s)], max(2, n), {}
+        for size in range(1, 9):
+            for i in range(len(words) - size + 1):
+                run = tuple(words[i : i + size])
+                seen[run] = seen.get(run, 0) + 1
+        return "\n".join(" ".join(r) for r, c in sorted(seen.items(), key=lambda x: (-len(x[0]), -x[1], x[0])) if c >= least)
     if kind == "subsentence":
         return "\n".join(p.strip() for p in re.split(r"[.,;:!?\n]+", s) if p.strip())
     return "\n".join(s.split("\n")[:n])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from fathom.functions.scalar import FUNCTIONS as SCALAR
 from fathom.functions.scalar import html_decode_text, lookup, number, text_of
 from fathom.functions.urls import URL_ATTRIBUTE, resolve
-from fathom.operators import markup
+from fathom.operators import markup, synthesis
 from fathom.operators.evaluate import truth, value
 from fathom.operators.interpret import Cell, Relation, Row, State, advance, each, inner, set_source, span
 from fathom.plans.expressions import SyntaxProblem
@@ -500,15 +500,56 @@ def _path_query(state: State, at: int) -> str | None:
 
 @on_state
 def find_query(state, step):
-    """Queries that lead to each row's element, one a line."""
-    found = [q for r in state.relation.rows if (q := _path_query(state, r.first().at if r.first().at is not None else r.base.at if r.base.at is not None else -1))]
-    state.relation = Relation([Row(Cell("\n".join(dict.fromkeys(found))))])
+    """Queries that give the rows' elements, one a line and best first. Arguments: 'short' (or 0) or 'long' (or 3), which of equally good ones come first; how many at most."""
+    args = _arguments(state, step)
+    long = bool(args) and text_of(args[0]) in ("long", "3")
+    found = synthesis.ranked(state, [r.base.at if r.base.at is not None else r.first().at for r in state.relation.rows], long)
+    if not found:  # no query gives them together: one for each
+        found = [q for r in state.relation.rows if (q := _path_query(state, r.base.at if r.base.at is not None else -1))]
+    most = int(number(args[1])) if len(args) > 1 else 10
+    state.relation = Relation([Row(Cell("\n".join(list(dict.fromkeys(found))[:most])))])
+
+
+@on_state
+def find_focus_query(state, step):
+    """The best query that goes through an element around the rows', the nearest that serves."""
+    found = synthesis.ranked(state, [r.base.at if r.base.at is not None else r.first().at for r in state.relation.rows])
+    state.relation = Relation([Row(Cell(next((q for q in found if re.search(r">\d+\.<", q)), found[0] if found else "")))])
 
 
 @on_state
 def find_leaves_query(state, step):
+    """A query for each leaf element of the rows, one a line."""
     tag_leaves(state, step)
-    find_query(state, step)
+    found = [q for r in state.relation.rows if (q := _path_query(state, r.first().at if r.first().at is not None else -1))]
+    state.relation = Relation([Row(Cell("\n".join(dict.fromkeys(found))))])
+
+
+WHOLE["tag_leaves_query"] = WHOLE["find_leaves_query"]
+
+
+def _text_leaves(state: State) -> list[tuple[int, str, int, int]]:
+    """(number among the source's texts, text, first, last) of the texts that lie within the rows and aren't blank."""
+    spans = [(c.at, c.at + len(c.text or "")) for r in state.relation.rows if (c := r.base).at is not None]
+    texts = [t for t in state.tokenize(state.source) if t.kind == markup.TEXT]
+    return [(n, v, t.first, t.last) for n, t in enumerate(texts, 1) if (v := tx(state.source[t.first : t.last]).strip()) and any(a <= t.first and t.last <= b for a, b in spans)]
+
+
+@on_state
+def plain_leaves_query(state, step):
+    """A query for each text within the rows, one a line."""
+    state.relation = Relation([Row(Cell("\n".join(f"<@tx>{n}:tt" for n, *_ in _text_leaves(state))))])
+
+
+@on_state
+def key_leaves_query(state, step):
+    """A record query with a field for each key: the text that follows the first text which holds the key."""
+    leaves, fields = _text_leaves(state), []
+    for key in (text_of(a) or "" for a in _arguments(state, step)):
+        k = next((k for k, leaf in enumerate(leaves) if key.lower() in leaf[1].lower()), None)
+        if k is not None and k + 1 < len(leaves):
+            fields.append(f"{re.sub(r'[^A-Za-z0-9_]+', '_', key).strip('_') or f'f{len(fields) + 1}'}=<@tx>{leaves[k + 1][0]}:tt")
+    state.relation = Relation([Row(Cell("{" + "; ".join(fields) + "}"))])
 
 
 @on_state

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,26 @@ def read_delimited(spark: SparkSession, path: str, header: bool = True, delimite
     return df if header else df.toDF(*[f"Column{k}" for k in range(1, len(df.columns) + 1)])
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+def guess_row_tag(sample: str) -> str | None:
+    """The element that repeats most directly within the outermost one; the outermost itself if it holds none."""
+    depth, found, root = 0, {}, None
+    for close, name, alone in re.findall(r"<(/?)([A-Za-z_][\w.:-]*)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)?(/?)>", re.sub(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>", "", sample, flags=re.S)):
+        if close:
+            depth -= 1
+            continue
+        root = root or name
+        if depth == 1:
+            found[name] = found.get(name, 0) + 1
+        depth += not alone
+    return max(found, key=found.get) if found else root
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """A column for each field; without a row tag, the first 200 lines tell it."""
+    if row_tag is None:
+        row_tag = guess_row_tag("\n".join(r.value for r in spark.read.text(path).limit(200).collect()))
+    if row_tag is None:
+        raise ValueError(f"no element in {path}")
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 

@@ -79,6 +79,29 @@ def test_functions_on_rows():
     assert values("one 二 three", "&text_words") == [["3"]]
 
 
+S = "<html><body><div id='m'><ul><li><a href=1 class=x>one</a></li><li><a href=2 class=x>two</a></li></ul></div><p>Name: <b>Ann</b></p><div><a href=3>three</a></div></body></html>"
+
+
+@pytest.mark.parametrize("query", ["<a>", "<ul>.<a>", "<a>2", "<a>3:tx", "<li>", "<div>2", "<a (class='x')>{h=:href; t=:tx}", "<b>:tx"])
+def test_queries_found_give_what_they_were_found_for(query):
+    wanted = {r.base.at for r in run(S, parse(query.removesuffix(":tx").split("{")[0])).rows}
+    found = values(S, f"{query} &find_query")[0][0].split("\n")
+    give = lambda q: {r.base.at for r in run(S, parse(q)).rows}
+    agree = [2 * len(give(q) & wanted) / (len(give(q)) + len(wanted)) for q in found]
+    assert agree[0] == 1 and agree == sorted(agree, reverse=True) and len(set(found)) == len(found)
+    assert give(values(S, f"{query} &find_query('long',1)")[0][0]) == wanted
+    assert give(values(S, f"{query} &find_focus_query")[0][0]) == wanted
+
+
+def test_other_queries_found():
+    assert values(S, "<a> &find_query./'\n'/1") == [["<a>"]]
+    assert values(S, "<ul> &tag_leaves_query") == [["<a NORECUR>1\n<a NORECUR>2"]]
+    assert values(S, "<p> &plain_leaves_query") == [["<@tx>3:tt\n<@tx>4:tt"]]
+    assert values(S, "<p> &key_leaves_query('name','none')") == [["{name=<@tx>4:tt}"]]
+    assert values(S, "<zz> &find_query") == values("", "<a> &find_query") == [[""]]
+    assert values("a b, c a b! a c", "&text_words('repeat',2)") == [["a b\na\nb\nc"]]
+
+
 def test_updates_of_the_source():
     assert values(A, "<a>2 &delete") == [["<a href='/oak'>10</a><a href='/fir'>30</a>"]]
     assert values(A, "<a>1 &insert('X')")[0][0].startswith("X<a")

@@ -79,6 +79,29 @@ def test_dates_written_and_read(spark):
     assert [r.r for r in got.collect()] == [text_of(FUNCTIONS["to_date"](w, "DD.MM.YYYY", "1990-01-01")) for w in ("4.3.2021", "x", None)]
 
 
+def test_orders_and_unique_keys(spark, people):
+    from fathom.operators.keys import insert_unique, ordered
+
+    df = spark.createDataFrame([("bb", "10"), ("A", "9"), ("a", "x"), (None, None)], "k string, v string")
+    assert [r.v for r in ordered(df, [("k", "length desc"), ("v", "integer")]).collect()] == ["10", "x", "9", None]
+    assert [r.k for r in ordered(df.where("k is not null"), [("k", "ci"), ("v", "char desc")]).collect()] == ["a", "A", "bb"]
+    for bad in (("k", "up"), ("zz", "desc")):
+        with pytest.raises(SyntaxProblem):
+            ordered(df, [bad])
+    added = spark.createDataFrame([("c", "1"), ("c", "2"), ("A", "3"), (None, "4"), ("d", None)], "k string, v string").coalesce(1)
+    assert sorted(rows(insert_unique(df, added, ["k"])), key=str) == sorted([*rows(df), ("c", "1"), ("d", None)], key=str)
+    assert sorted(rows(insert_unique(df.limit(0), added, ["k"])), key=str) == sorted([("c", "1"), ("A", "3"), (None, "4"), ("d", None)], key=str)
+
+
+def test_row_tags_are_told_from_the_text(spark, tmp_path):
+    from fathom.sources.tables import guess_row_tag, read_xml
+
+    text = "<?xml version='1.0'?>\n<!-- <z/> -->\n<book>\n<page n='1'><t>a</t></page>\n<note/><page n='>'><t>b</t></page>\n</book>"
+    assert guess_row_tag(text) == "page" and guess_row_tag("<one>1</one>") == "one" and guess_row_tag("") is None
+    (tmp_path / "b.xml").write_text(text)
+    assert sorted(r.t for r in read_xml(spark, str(tmp_path / "b.xml")).collect()) == ["a", "b"]
+
+
 def test_row_numbers(spark):
     df = spark.range(100).repartition(7)
     assert sorted(r.n for r in execute(df, "SELECT rownum AS n, id FROM t").collect()) == [float(k) for k in range(1, 101)]
