@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
 last return the columns of documents. Stages are written as Parquet in the shared folder and read again.
+
+In every stage a null text counts as empty, other columns may be null and pass through, extra columns stay
+whatever their names, and an empty table gives an empty one. Texts of any length are read whole. A row that
+is there twice counts twice in toxicity and mixing; exact dedup leaves one of it.
 """
 
 from __future__ import annotations
@@ -17,17 +21,17 @@ SHARES = (0.9, 0.1)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic by a model of their labels."""
+    """Documents that aren't predicted toxic by a model of their labels. Null and empty texts are scored as any other."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, white space aside."""
+    """One document of each text, white space aside: the one with the most characters, then the smallest id; all null, empty and blank texts are one text."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard similarity 0.8 or more hold together."""
+    """One document of each group that links of Jaccard similarity 0.8 or more hold together, that of the smallest id; documents without words are linked with nothing and stay."""
     return ngram_join.one_of_each(docs)
 
 
@@ -37,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences; a null or empty text is a piece of its end id alone."""
     return packing.pack_documents(docs)
 
 
