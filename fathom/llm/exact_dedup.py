@@ -75,7 +75,8 @@ def find_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated rows, one.
+    """The rows of docs that stay, with all their columns; of repeated rows, one. Null, empty and blank texts
+    are one text; an empty table gives an empty one.
 
     Rows that are surely alone pass without a shuffle. Of the others, each map task keeps one per
     text, so a text that a third of all rows hold is no larger group than any other.
