@@ -16,7 +16,7 @@ FUNCTIONS: dict[str, Callable] = {}
 SPACES = " \t\n\r\x0b\x0c"
 
 #: The characters that URL encoding leaves and Spark's escapes: fixed values.
-URL_KEPT = "~!'(),/=;+@:?&$"
+URL_KEPT = "~!'(),/=;@:?&$"
 
 
 def _typed(column: Column, kind: str):

@@ -21,8 +21,8 @@ ALIASES = {"mid": "substr", "instr": "strfind", "isempty": "isblank", "get_email
 #: Entities that the language decodes, beside numeric ones; others stay: fixed values.
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "bslash": "\\", "amp": "&"}
 
-#: Characters that URL encoding leaves as they are, beside letters and digits: fixed values.
-URL_SAFE = "-_.~!*'(),/=;+@:?&$"
+#: Characters that URL encoding leaves as they are, beside letters and digits: fixed values. A plus is none, as it stands for a space.
+URL_SAFE = "-_.~!*'(),/=;@:?&$"
 
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 _ENTITY = re.compile(r"&(?:#(\d+)|#[xX]([0-9a-fA-F]+)|(nbsp|lt|gt|quot|bslash|amp));", re.I)

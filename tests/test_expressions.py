@@ -66,6 +66,21 @@ def test_decoding_undoes_encoding(s):
     assert FUNCTIONS["url_decode"](FUNCTIONS["url_encode"](s.replace("+", " "))) == s.replace("+", " ") or "%" in s
 
 
+@given(st.text(st.sampled_from("a1 +%2B&=/é字")) | st.text())
+def test_url_decoding_gives_every_text_back(s):
+    assert FUNCTIONS["url_decode"](FUNCTIONS["url_encode"](s)) == s
+
+
+def test_url_encoding_of_a_plus_as_column_and_value(spark):
+    texts = ["+1 (469) 555-0306", "a + b", "++", "%2B+%20", "a b", "é+字&=/"]
+    df = spark.createDataFrame([(s,) for s in texts], "s string")
+    s = Typed(df.s, "text")
+    encoded = column(parse_expression("url_encode(s)"), {"s": s}).text()
+    back = column(parse_expression("url_decode(url_encode(s))"), {"s": s}).text()
+    assert [tuple(r) for r in df.select("s", encoded, back).collect()] == [(t, FUNCTIONS["url_encode"](t), t) for t in texts]
+    assert FUNCTIONS["url_encode"]("a + b") == "a+%2B+b"
+
+
 @given(st.text(alphabet="abc %,&<", max_size=30))
 def test_split_and_join(s):
     from fathom.operators.interpret import run
